@@ -60,7 +60,8 @@ def dedup_groups(docs: DataFrame, uid: str | None = None) -> DataFrame:
     none = F.array().cast(lists.schema["ids"].dataType)
     rows = written(rows.withColumn("ids", F.coalesce("ids", none)), "lists")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid"))
-    groups = rows.groupBy("ids").agg(first.alias("f"), F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join below has exchanges of its own and a hot group's rows can be split
+    groups = written(rows.groupBy("ids").agg(first.alias("f"), F.count(F.lit(1)).alias("group_size")), "groups")
     out = rows.join(groups, "ids")
     return out.select("uid", "doc_id", F.col("f.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("f.uid")).alias("kept"), "text_sha256")
 
