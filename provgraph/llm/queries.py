@@ -7,6 +7,7 @@ import importlib
 #: module, query, name of its SQL or None
 REGISTERED = [
     ("chat_format", "op1_prefix_targets", "OP1_SQL"),
+    ("packing", "op4_ffd_packing", None),
     ("exact_dedup", "op8_chunk_dedup", "OP8_SQL"),
 ]
 
