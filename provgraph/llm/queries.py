@@ -8,6 +8,7 @@ import importlib
 REGISTERED = [
     ("chat_format", "op1_prefix_targets", "OP1_SQL"),
     ("packing", "op4_ffd_packing", None),
+    ("bpe_lexicon", "op6_lexicon_bpe", None),
     ("exact_dedup", "op8_chunk_dedup", "OP8_SQL"),
 ]
 
