@@ -11,6 +11,7 @@ REGISTERED = [
     ("packing", "op4_ffd_packing", None),
     ("bpe_lexicon", "op6_lexicon_bpe", None),
     ("exact_dedup", "op8_chunk_dedup", "OP8_SQL"),
+    ("minhash_dedup", "op5_bagminhash", None),
     ("language_id", "op9_marginal_unigrams", None),
 ]
 
