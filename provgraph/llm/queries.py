@@ -10,6 +10,7 @@ REGISTERED = [
     ("toxicity", "op3_toxicity_fm", None),
     ("packing", "op4_ffd_packing", None),
     ("bpe_lexicon", "op6_lexicon_bpe", None),
+    ("suffix_dedup", "op7_lpf_dedup", None),
     ("exact_dedup", "op8_chunk_dedup", "OP8_SQL"),
     ("minhash_dedup", "op5_bagminhash", None),
     ("language_id", "op9_marginal_unigrams", None),
