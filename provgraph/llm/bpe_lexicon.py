@@ -7,8 +7,8 @@ compiled file into memory and walk all of a batch's distinct words through it at
 A word that is not in the lexicon is split by the vocabulary's pattern and merged exactly, lowest rank
 first. Ids equal the tokenizers library's; decoding joins the ids' bytes.
 
-Counting words is a map-side count and one shuffle of (word, count); only the lexicon, bounded by its
-number of words, passes through the driver and is broadcast.
+Counting is a map-side count and one shuffle of (run, count); only the most frequent runs, bounded by
+their number, pass through the driver, and the compiled lexicon is broadcast.
 
 Defined results: a null text counts as empty (no ids); repeated rows and null or repeated doc_ids are
 kept row by row; other columns are ignored; an empty table gives no rows and an empty lexicon.
@@ -22,7 +22,6 @@ import json
 import mmap
 import re
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +33,11 @@ from pyspark.sql import functions as F
 from . import vocab
 from .common import table
 
-#: Words in the lexicon, and the most bytes of one.
-WORDS, WORD_BYTES = 32_768, 24
-#: Distinct words counted in a task before they are handed on.
-COUNTED = 400_000
+#: Frequent runs that the lexicon is made of, and the most bytes of one.
+RUNS, RUN_BYTES = 32_768, 24
 
-#: White space other than single spaces and line ends inside a text.
-IRREGULAR = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: White space that isn't a single space or line end inside a plain text.
+IRREGULAR = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 
 
 def byte_letters() -> dict[int, str]:
@@ -146,7 +143,7 @@ def runs(text: str) -> list[str] | None:
 
     No word of the pattern spans two runs, so runs can be split, counted and encoded one by one.
     """
-    if IRREGULAR.search(text) or not vocab.PLAIN.fullmatch(text):
+    if text[:1] in (" ", "\n", "") or text[-1] in " \n" or any(x in text for x in IRREGULAR) or not vocab.PLAIN.fullmatch(text):
         return None
     out: list[str] = []
     for i, line in enumerate(text.split("\n")):
@@ -158,42 +155,21 @@ def runs(text: str) -> list[str] | None:
     return out
 
 
-def frequent_words(docs: DataFrame, words: int = WORDS, longest: int = WORD_BYTES, path: str = vocab.BYTE_BPE) -> DataFrame:
-    """(word, n): the most frequent words over all whole texts; ties go to the smaller word."""
+def frequent_runs(docs: DataFrame, most: int = RUNS, longest: int = RUN_BYTES) -> DataFrame:
+    """(run, n): the most frequent runs between spaces or line ends over all whole texts; ties go to the smaller run."""
+    found = docs.select(F.explode(F.split(F.col("text").cast("string"), "[ \n]")).alias("run"))
+    found = found.where(F.octet_length("run").between(1, longest)).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    return found.orderBy(F.desc("n"), "run").limit(most)
 
-    def split(seen: Counter, book: Vocabulary) -> pd.DataFrame:
-        parts: Counter = Counter()
-        for run, n in seen.items():
-            for w in book.split(run):
-                if len(w) <= longest:
-                    parts[w] += n
-        return pd.DataFrame(list(parts.items()), columns=["word", "n"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, book = Counter(), vocabulary(path)
-        for batch in batches:
-            for text in batch["text"]:
-                found = runs(text)
-                seen.update(book.split(text) if found is None else found)
-                if len(seen) > COUNTED:
-                    yield split(seen, book)
-                    seen.clear()
-        if seen:
-            yield split(seen, book)
-
-    found = docs.where("text is not null").select(F.col("text").cast("string")).mapInPandas(count, "word string, n long")
-    found = found.where(F.octet_length("word").between(1, longest)).groupBy("word").agg(F.sum("n").alias("n"))
-    return found.orderBy(F.desc("n"), "word").limit(words)
-
-
-def compiled(words: list[str], path: str) -> bytes:
-    """The transducer of the given words as one block of bytes.
+def compiled(frequent: list[str], path: str) -> bytes:
+    """The transducer of the words in frequent runs, each with a space before it, as one block of bytes.
 
     Words come in order, so a state is final in form once the next word leaves it; a state equal to an
     earlier one (same end mark, same arcs) is replaced by it, which shares suffixes.
     """
     book = vocabulary(path)
-    known = sorted({w.encode(): w for w in words if w and not book.specials.search(w)}.items())
+    known = sorted({w.encode() for run in frequent if not book.specials.search(run) for w in book.split(f" {run}")})
     register: dict[tuple, int] = {}
     final: list[bool] = []
     arcs: list[tuple] = []
@@ -208,7 +184,7 @@ def compiled(words: list[str], path: str) -> bytes:
 
     path_nodes: list[list] = [[False, []]]  # open states along the last word: end mark, arcs
     last = b""
-    for word, _ in known:
+    for word in known:
         same = next((i for i, (a, b) in enumerate(zip(last, word, strict=False)) if a != b), min(len(last), len(word)))
         while len(path_nodes) > same + 1:
             node = path_nodes.pop()
@@ -231,7 +207,7 @@ def compiled(words: list[str], path: str) -> bytes:
             skips.append(n)
             n += below[target]
         below[state] = n
-    ids = book.merge_all([word for word, _ in known])
+    ids = book.merge_all(known)
     ends = np.cumsum([0, *map(len, ids)], dtype="<u4")
     parts = [np.array(x, dtype="<u4").tobytes() for x in (keys, targets, skips, final, ends)] + [b"".join(ids)]
     return np.array([root, *map(len, parts)], dtype="<u4").tobytes() + b"".join(parts)
@@ -344,18 +320,22 @@ def slices(texts: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
         yield held
 
 
-def encode(docs: DataFrame, path: str = vocab.BYTE_BPE, words: int = WORDS) -> DataFrame:
-    """(doc_id, ids): every whole text's ids, as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, path: str = vocab.BYTE_BPE, most: int = RUNS, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids): every whole text's ids, as little-endian unsigned 32-bit integers; decoded: and the text they stand for."""
     spark = docs.sparkSession
-    block = spark.sparkContext.broadcast(compiled([r["word"] for r in frequent_words(docs, words, path=path).collect()], path))
+    block = spark.sparkContext.broadcast(compiled([r["run"] for r in frequent_runs(docs, most).collect()], path))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path, block.value)
         for batch in batches:
-            ids = [x for some in slices([t or "" for t in batch["text"]]) for x in encoder.encode(some)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
+            at = 0
+            for some in slices([t or "" for t in batch["text"]]):
+                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[at : at + len(some)].to_numpy(), "ids": encoder.encode(some)})
+                at += len(some)
+                yield out.assign(text=[encoder.book.decode(x).decode("utf-8", "replace") for x in out["ids"]]) if decoded else out
 
-    return docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(work, "doc_id string, ids binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    schema = "doc_id string, ids binary" + ", text string" * decoded
+    return docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(work, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode(encoded: DataFrame, path: str = vocab.BYTE_BPE, to: str = "text") -> DataFrame:
@@ -370,5 +350,5 @@ def decode(encoded: DataFrame, path: str = vocab.BYTE_BPE, to: str = "text") ->
 
 
 def op6_lexicon_bpe(spark, sf_dir):
-    out = decode(encode(table(spark, sf_dir, "documents")))
+    out = encode(table(spark, sf_dir, "documents"), decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

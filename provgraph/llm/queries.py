@@ -7,6 +7,7 @@ import importlib
 #: module, query, name of its SQL or None
 REGISTERED = [
     ("chat_format", "op1_prefix_targets", "OP1_SQL"),
+    ("topk_search", "op2_nra_topk", "OP2_SQL"),
     ("toxicity", "op3_toxicity_fm", None),
     ("packing", "op4_ffd_packing", None),
     ("bpe_lexicon", "op6_lexicon_bpe", None),

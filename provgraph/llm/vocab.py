@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import public_tokenizers
@@ -14,10 +15,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Characters on which every Unicode version and both regex engines agree: letters, digits, signs, spaces.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž‐-‧‰-⁞€]*")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ňŊ-ž‐-‧‰-⁞€]*")
 
 #: Entries of a memo before it is emptied.
-MEMO = 600_000
+MEMO = 300_000
 
 
 @functools.cache
