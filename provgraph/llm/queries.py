@@ -13,6 +13,7 @@ REGISTERED = [
     ("bpe_lexicon", "op6_lexicon_bpe", None),
     ("suffix_dedup", "op7_lpf_dedup", None),
     ("exact_dedup", "op8_chunk_dedup", "OP8_SQL"),
+    ("line_dedup", "op10_edit_join_lines", None),
     ("minhash_dedup", "op5_bagminhash", None),
     ("language_id", "op9_marginal_unigrams", None),
 ]
