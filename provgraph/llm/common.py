@@ -64,3 +64,18 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
         if step.where("was <> root").isEmpty():
             break
     return label
+
+
+def leading(df: DataFrame, score: str, k: int, steps: int = 16) -> DataFrame:
+    """The k rows of the largest positive scores, and few more: those above a bar that a histogram of log scores sets.
+
+    A plain top-k sends k rows of every partition to the driver; behind the bar about k rows are left in all.
+    """
+    step = F.floor(F.log2(F.greatest(F.col(score), F.lit(1e-9))) * steps).alias("step")
+    counts = sorted(((r["step"], r["n"]) for r in df.groupBy(step).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    total, bar = 0, None
+    for bar, n in counts:
+        total += n
+        if total >= k:
+            break
+    return df if bar is None or total < k else df.where(F.floor(F.log2(F.greatest(F.col(score), F.lit(1e-9))) * steps) >= bar)

@@ -260,8 +260,21 @@ def merged(spans, whole: bool, size: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str = "none") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept, the bytes that stay."""
+def between_letters(b: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs, each narrowed so that it starts and ends between UTF-8 letters."""
+    out = []
+    for x, y in gone:
+        while x < y and b[x] & 0xC0 == 0x80:
+            x += 1
+        while x < y < len(b) and b[y] & 0xC0 == 0x80:
+            y -= 1
+        if x < y:
+            out.append((x, y))
+    return out
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str = "none", letters: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept, the bytes that stay; letters: no letter is cut in two."""
     spans = repeated_spans(docs, length, k, keep)
     by_text = spans.groupBy("tk").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -274,7 +287,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str
     def cut(bytes_: pd.Series, spans: pd.Series, whole: pd.Series) -> pd.DataFrame:
         out = []
         for b, s, w in zip(bytes_, spans, whole, strict=True):
-            gone = merged(s, w, len(b))
+            gone = between_letters(b, merged(s, w, len(b))) if letters else merged(s, w, len(b))
             edges = [0, *(x for pair in gone for x in pair), len(b)]
             out.append((sum(y - x for x, y in gone), len(gone), b"".join(b[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
@@ -287,6 +300,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str
     return out.select(*docs.columns, F.octet_length("_b").cast("long").alias("n_bytes"), "_c.n_removed", "_c.n_spans", "_c.kept")
 
 
+def keep_first(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with the later copies of repeated passages cut from text; the columns stay the same."""
+    out = without_repeats(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), length, keep="first", letters=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
+    return out.withColumn("text", text).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op7_lpf_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

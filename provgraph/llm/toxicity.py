@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, leading, table, written
 
 POSITIVES, NEGATIVES, TERMS = 4000, 8000, 4096
 FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 2e-4
@@ -168,7 +168,7 @@ def choose_terms(rows: DataFrame, most: int = TERMS) -> DataFrame:
     there, away = (F.col("p") + 0.5) / (F.col("pos") + 1), (F.col("n") - F.col("p") + 0.5) / (F.col("all") - F.col("pos") + 1)
     spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") - F.col("p") + 0.5))
     found = found.withColumn("z", F.abs(F.log(there / away)) / spread)
-    return found.orderBy(F.desc("z"), "term").limit(most).select("term")
+    return leading(written(found.select("term", "z"), "terms"), "z", most).orderBy(F.desc("z"), "term").limit(most).select("term")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
@@ -209,6 +209,12 @@ def scored(docs: DataFrame, machine: Machine, to: str = "score") -> DataFrame:
     return docs.withColumn(to, score(F.col("text").cast("string")))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold, learnt from the labels of those rows."""
+    to = fresh("score", docs)
+    return scored(docs, learn(docs, labels), to).where(F.col(to) < threshold).select(*docs.columns)
+
+
 def op3_toxicity_fm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = scored(docs, learn(docs, table(spark, sf_dir, "labels")))
