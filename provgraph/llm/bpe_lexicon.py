@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import table
+from .common import leading, table, written
 
 #: Frequent runs that the lexicon is made of, and the most bytes of one.
 RUNS, RUN_BYTES = 32_768, 24
@@ -156,9 +156,10 @@ def runs(text: str) -> list[str] | None:
 
 
 def frequent_runs(docs: DataFrame, most: int = RUNS, longest: int = RUN_BYTES) -> DataFrame:
-    """(run, n): the most frequent runs between spaces or line ends over all whole texts; ties go to the smaller run."""
+    """(run, n): the most frequent runs between spaces or line ends over all whole texts; a run must occur twice; ties go to the smaller run."""
     found = docs.select(F.explode(F.split(F.col("text").cast("string"), "[ \n]")).alias("run"))
     found = found.where(F.octet_length("run").between(1, longest)).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    found = leading(written(found.where("n > 1"), "runs"), "n", most)
     return found.orderBy(F.desc("n"), "run").limit(most)
 
 
