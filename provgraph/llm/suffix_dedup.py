@@ -33,8 +33,8 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 from .common import table, written
 
 LENGTH, K = 200, 64
-#: Classes of a bucket up to which it is handled whole in one task, classes dealt to a task.
-HOT, DEALT = 256, 8192
+#: Classes of a bucket up to which it is handled whole in one task (of at most 2 * LENGTH bytes each), classes dealt to a task.
+HOT, DEALT = 16_384, 8192
 #: Bytes handled together in a task.
 SLICE = 1_000_000
 
@@ -197,8 +197,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str
     keyed = keyed_texts(docs)
     cut = segment_table(keyed.where(F.octet_length("bytes") >= length), length, k)
     # buckets of several places; copies of one text make these too, and are told apart below
-    full = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    hits = cut.join(full, "anchor").groupBy("anchor", "content", "tk", "lo").agg(F.min("d").alias("d"), F.min("hi").alias("hi"))
+    full = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("anchor").alias("key"))
+    # joined by a hash of the anchor, so that the aggregation below deals its rows anew and a hot anchor's can be split here
+    hits = cut.withColumn("key", F.xxhash64("anchor")).join(full, "key").groupBy("anchor", "content", "tk", "lo").agg(F.min("d").alias("d"), F.min("hi").alias("hi"))
     hits = written(hits, "hits")
     first = F.min(F.struct("d", "tk", "lo"))
     classes = hits.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("places"), first.alias("first"))

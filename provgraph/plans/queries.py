@@ -286,7 +286,7 @@ def delta_parameter_owners(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT user_id AS pair_id, sqrt(avg(value * value)) FILTER (event_id % 2 = 0) AS r0, sqrt(avg(value * value)) FILTER (event_id % 2 = 1) AS r1, max(abs(value)) FILTER (event_id % 2 = 0) AS p0, max(abs(value)) FILTER (event_id % 2 = 1) AS p1 FROM events GROUP BY 1),
+WITH s AS (SELECT user_id AS pair_id, sqrt(avg(value * value) FILTER (event_id % 2 = 0)) AS r0, sqrt(avg(value * value) FILTER (event_id % 2 = 1)) AS r1, max(abs(value)) FILTER (event_id % 2 = 0) AS p0, max(abs(value)) FILTER (event_id % 2 = 1) AS p1 FROM events GROUP BY 1),
 l AS (SELECT pair_id, 'rms' AS measure, r0 AS old, r1 AS new FROM s UNION ALL SELECT pair_id, 'peak', p0, p1 FROM s), d AS (SELECT *, CASE WHEN old > 0 AND new > 0 THEN 20 * log10(new / old) END AS delta FROM l)
 SELECT pair_id, measure, round(old, 6) AS old, round(new, 6) AS new, round(delta, 6) AS delta, CASE WHEN delta IS NULL THEN 'unavailable' WHEN delta >= 0.5 THEN 'up' WHEN delta <= -0.5 THEN 'down' ELSE 'same' END AS direction FROM d""")
 def delta_acoustic(spark, sf_dir):
