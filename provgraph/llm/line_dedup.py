@@ -168,14 +168,14 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFra
 
 def drop_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """docs with only the lines that are the first of their class; lines shorter than least stay everywhere."""
-    uid = fresh("uid", docs)
+    uid, kept_text = fresh("uid", docs), fresh("kept_text", docs)
     rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
     kept = line_classes(rows, tau, least).where("kept").select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     lines = lines_of(rows.withColumn("doc_id", F.struct("doc_id", uid))).withColumn(uid, F.col(f"doc_id.{uid}")).withColumn("doc_id", F.col("doc_id.doc_id"))
     own = lines.join(kept, ["h1", "h2"], "left").where((F.char_length("line") < least) | (F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))))
-    texts = own.groupBy(uid).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("_kept"))
+    texts = own.groupBy(uid).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias(kept_text))
     out = rows.join(texts, uid, "left")
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce("_kept", F.lit("")))).select(*docs.columns)
+    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce(kept_text, F.lit("")))).select(*docs.columns)
 
 
 def op10_edit_join_lines(spark, sf_dir):
