@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, sanitize
-from ..operators import align, atlas, delta, evaluate, graph, ladder, lineage, metrics, rules, signal, similarity, validate
+from ..functions import names, roles, sanitize
+from ..operators import align, atlas, delta, evaluate, graph, influence, ladder, lineage, metrics, normalize, provview, rules, signal, similarity, validate
 from ..sources.corpus import tables, with_clause
 
 QUERIES: dict = {}
@@ -417,3 +417,87 @@ UNION ALL SELECT bundle_id, 'info', 'value', 'wide_spread' FROM entities WHERE v
 def rule_findings(spark, sf_dir):
     entities, relationships = tables(spark, sf_dir, "entities", "relationships")
     return rules.run(rules.DEFAULT, {"entities": entities, "relationships": relationships}).select("bundle_id", "severity", "subject", "rule_id")
+
+
+@query("""WITH v(role, priority, keyword) AS (VALUES ('Bolt', 1, 'cold bolt'), ('Bolt', 2, 'bolts'), ('Plate', 3, 'plate'), ('Heat', 4, 'hot')),
+h AS (SELECT p_partkey, role, keyword, row_number() OVER (PARTITION BY p_partkey ORDER BY priority) AS n FROM part, v WHERE (' ' || p_name || ' ') LIKE '% ' || keyword || ' %' OR (keyword = 'bolts' AND (' ' || p_name || ' ') LIKE '% bolt %'))
+SELECT p.p_partkey, coalesce(role, 'Unknown') AS role, keyword, CASE WHEN role IS NULL THEN 0.2 WHEN keyword = 'cold bolt' THEN 0.85 ELSE 0.75 END::DOUBLE AS confidence FROM part p LEFT JOIN h ON p.p_partkey = h.p_partkey AND h.n = 1""")
+def role_keywords(spark, sf_dir):
+    vocabulary = spark.createDataFrame([("Bolt", 1, "cold bolt"), ("Bolt", 2, "bolts"), ("Plate", 3, "plate"), ("Heat", 4, "hot")], "role string, priority int, keyword string")
+    return roles.keyword_roles(tables(spark, sf_dir, "part")[0].select("p_partkey", "p_name"), vocabulary, "p_name").drop("p_name")
+
+
+@query(with_clause("entities") + " SELECT bundle_id, id, 'base ' || CAST(value AS DOUBLE) AS effective FROM entities WHERE entity_type = 'PARAMETER'")
+def parameter_influence(spark, sf_dir):
+    return influence.influence(*tables(spark, sf_dir, "entities", "relationships")).select("bundle_id", "id", "effective")
+
+
+@query(with_clause("relationships") + """
+SELECT bundle_id, CASE rel_type WHEN 'CONTAINS' THEN 'hadMember' WHEN 'TRACK_USES_CHANNEL' THEN 'used' WHEN 'CHANNEL_PROCESSED_BY' THEN 'used' ELSE 'wasInfluencedBy' END AS relation, count(*) AS n FROM relationships GROUP BY ALL""")
+def prov_relations(spark, sf_dir):
+    return provview.relations(*tables(spark, sf_dir, "relationships")).groupBy("bundle_id", "relation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_clause("entities", "provenance", "snapshots") + """
+SELECT e.bundle_id, e.id, CASE p.evidence WHEN 'INFERRED' THEN 'analyzer' WHEN 'ANNOTATED' THEN 'user' ELSE 'tool:' || s.daw END AS agent, lower(p.evidence) AS observability FROM entities e JOIN provenance p ON e.bundle_id = p.bundle_id AND e.star = p.id JOIN snapshots s ON e.bundle_id = s.bundle_id""")
+def prov_attributions(spark, sf_dir):
+    return provview.attributions(*tables(spark, sf_dir, "entities", "provenance", "snapshots"))
+
+
+def _sessions(spark, sf_dir):
+    """Nested sessions, one a customer: orders as tracks, line items as processors."""
+    lines, orders = tables(spark, sf_dir, "lines", "orders")
+    key = lambda c: F.col(c).cast("string")
+    parameter = F.array(F.struct(F.concat(F.lit("v"), key("l_orderkey"), F.lit("-"), key("line_uid")).alias("id"), F.lit("Level").alias("name"), F.col("l_quantity").alias("value")))
+    p = F.struct("line_uid", F.concat(F.lit("x"), key("l_orderkey"), F.lit("-"), key("line_uid")).alias("id"), F.concat(F.lit("Part "), key("l_partkey")).alias("name"), F.col("l_returnflag").alias("family"), F.col("l_linestatus").alias("chain"), parameter.alias("parameters"))
+    chains = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(p)).alias("processors"))
+    oid = F.concat(F.lit("o"), key("o_orderkey"))
+    kind = F.when(F.col("o_orderpriority") == "5-LOW", "return").when(F.col("o_orderstatus") == "F", "audio").when(F.col("o_orderstatus") == "O", "group").otherwise("inferred")
+    clip = F.array(F.struct(F.concat(F.lit("c"), key("o_orderkey")).alias("id"), F.lit("Clip").alias("name"), F.concat(F.lit("media/"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".wav")).alias("path")))
+    group = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("o"), (F.col("o_orderkey") - 1).cast("string")))
+    rows = orders.join(chains, "o_orderkey", "left")
+    none = F.array().cast(chains.schema["processors"].dataType)
+    t = F.struct("o_orderkey", oid.alias("id"), F.concat(F.lit("Track "), key("o_orderkey")).alias("name"), kind.alias("kind"), F.col("o_orderpriority").alias("role"), group.alias("group_id"), F.coalesce("processors", none).alias("processors"), clip.alias("clips"))
+    r = F.struct(oid.alias("source"), F.concat(F.lit("bus"), (F.col("o_orderkey") % 3).cast("string")).alias("target"), F.lit("send").alias("kind"))
+    return rows.groupBy(F.col("o_custkey").alias("bundle_id")).agg(F.lit("demo").alias("dialect"), F.sort_array(F.collect_list(t)).alias("tracks"), F.sort_array(F.collect_list(r)).alias("routes"))
+
+
+SESSIONS = """, t AS (SELECT o_custkey AS bundle_id, o_orderkey, 'demo:o' || o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'return' WHEN o_orderstatus = 'F' THEN 'audio' WHEN o_orderstatus = 'O' THEN 'group' ELSE 'inferred' END AS kind,
+  trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g')) AS own FROM orders),
+k AS (SELECT *, CASE WHEN kind = 'return' THEN id WHEN kind <> 'inferred' THEN id || ':channel' END AS channel, CASE kind WHEN 'return' THEN 'effect_return' WHEN 'group' THEN 'submix' ELSE own END AS role FROM t)"""
+
+
+@query(with_clause("lines") + SESSIONS + """
+SELECT DISTINCT bundle_id, 'demo:project' AS id, 'PROJECT' AS entity_type, NULL AS name, NULL AS role, NULL AS family, NULL::DOUBLE AS value FROM k
+UNION ALL SELECT bundle_id, id, 'TRACK', 'Track ' || o_orderkey, role, NULL, NULL FROM k WHERE kind <> 'return'
+UNION ALL SELECT bundle_id, channel, 'CHANNEL', 'Track ' || o_orderkey, CASE WHEN kind = 'return' THEN role END, NULL, NULL FROM k WHERE channel IS NOT NULL
+UNION ALL SELECT bundle_id, 'demo:x' || l_orderkey || '-' || line_uid, 'PROCESSOR', 'Part ' || l_partkey, NULL, l_returnflag, NULL FROM lines
+UNION ALL SELECT bundle_id, 'demo:v' || l_orderkey || '-' || line_uid, 'PARAMETER', 'Level', NULL, NULL, l_quantity FROM lines
+UNION ALL SELECT bundle_id, 'demo:c' || o_orderkey, 'TEMPORAL_OBJECT', 'Clip', NULL, NULL, NULL FROM k
+UNION ALL SELECT DISTINCT bundle_id, 'asset:' || substr(sha256('media/' || (o_orderkey % 7) || '.wav'), 1, 12), 'MEDIA_ASSET', 'media/' || (o_orderkey % 7) || '.wav', NULL, NULL, NULL FROM k""")
+def normalized_entities(spark, sf_dir):
+    return normalize.entities(_sessions(spark, sf_dir))
+
+
+@query(with_clause("lines") + SESSIONS + """, x AS (SELECT l.bundle_id, coalesce(k.channel, k.id) AS owner, 'demo:x' || l_orderkey || '-' || line_uid AS id, l_linestatus AS chain, line_uid - 1 AS idx, 'demo:v' || l_orderkey || '-' || line_uid AS v FROM lines l JOIN k ON k.o_orderkey = l.l_orderkey),
+b AS (SELECT bundle_id, lag(id) OVER (PARTITION BY bundle_id, owner, chain ORDER BY idx) AS source, id AS target FROM x),
+g AS (SELECT c.bundle_id, c.id, c.channel, c.kind, p.id AS g, p.kind AS g_kind FROM k c JOIN k p ON c.bundle_id = p.bundle_id AND c.o_orderkey % 2 = 0 AND p.o_orderkey = c.o_orderkey - 1)
+SELECT bundle_id, 'TRACK_USES_CHANNEL' AS rel_type, id AS source, channel AS target, NULL::BIGINT AS idx FROM k WHERE kind NOT IN ('return', 'inferred')
+UNION ALL SELECT bundle_id, 'CONTAINS', g, id, NULL FROM g
+UNION ALL SELECT bundle_id, 'SUMS_TO', channel, g || ':channel', NULL FROM g WHERE g_kind = 'group' AND kind NOT IN ('return', 'inferred')
+UNION ALL SELECT bundle_id, 'CHANNEL_PROCESSED_BY', owner, id, idx FROM x
+UNION ALL SELECT bundle_id, 'PRECEDES', source, target, NULL FROM b WHERE source IS NOT NULL
+UNION ALL SELECT bundle_id, 'CONTAINS', id, v, NULL FROM x
+UNION ALL SELECT bundle_id, 'TRACK_CONTAINS_TEMPORAL_OBJECT', id, 'demo:c' || o_orderkey, NULL FROM k
+UNION ALL SELECT bundle_id, 'REFERENCES_ASSET', 'demo:c' || o_orderkey, 'asset:' || substr(sha256('media/' || (o_orderkey % 7) || '.wav'), 1, 12), NULL FROM k
+UNION ALL SELECT bundle_id, 'CHANNEL_SENDS_TO', coalesce(channel, id), 'endpoint:demo:bus' || (o_orderkey % 3), NULL FROM k""")
+def normalized_relationships(spark, sf_dir):
+    return normalize.relationships(_sessions(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT user_id AS bundle_id, min(event_id) AS first, CASE event_type WHEN 'click' THEN 'OBSERVED' ELSE 'INFERRED' END AS evidence, event_type AS capture_method, 'ref' || (event_id % 5) AS source_ref, CASE WHEN event_type <> 'click' THEN (event_id % 2) / 2 END::DOUBLE AS confidence FROM events GROUP BY ALL)
+SELECT *, 'prov:' || lpad((row_number() OVER (PARTITION BY bundle_id ORDER BY first))::VARCHAR, 4, '0') AS id FROM r""")
+def normalized_provenance(spark, sf_dir):
+    events = tables(spark, sf_dir, "events")[0]
+    records = events.select(F.col("user_id").alias("bundle_id"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "click", "OBSERVED").otherwise("INFERRED").alias("evidence"), F.col("event_type").alias("capture_method"), F.concat(F.lit("ref"), (F.col("event_id") % 5).cast("string")).alias("source_ref"), ((F.col("event_id") % 2) / 2).alias("confidence"))
+    return normalize.provenance_store(records)
