@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, roles, sanitize
-from ..operators import align, atlas, delta, evaluate, graph, influence, ladder, lineage, metrics, normalize, provview, rules, signal, similarity, validate
+from ..operators import access, align, atlas, delta, evaluate, graph, influence, ladder, lineage, metrics, normalize, provview, rules, sessiondiff, signal, similarity, validate
 from ..sources.corpus import tables, with_clause
 
 QUERIES: dict = {}
@@ -501,3 +501,86 @@ def normalized_provenance(spark, sf_dir):
     events = tables(spark, sf_dir, "events")[0]
     records = events.select(F.col("user_id").alias("bundle_id"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "click", "OBSERVED").otherwise("INFERRED").alias("evidence"), F.col("event_type").alias("capture_method"), F.concat(F.lit("ref"), (F.col("event_id") % 5).cast("string")).alias("source_ref"), ((F.col("event_id") % 2) / 2).alias("confidence"))
     return normalize.provenance_store(records)
+
+
+@query(with_clause("entities", "provenance", "availability") + """
+SELECT e.bundle_id, e.id, '*' AS field, 'provenance' AS source, coalesce(p.evidence, 'DANGLING REFERENCE') AS detail FROM entities e LEFT JOIN provenance p ON e.bundle_id = p.bundle_id AND e.star = p.id
+UNION ALL SELECT bundle_id, id, field, 'availability', status FROM availability""")
+def inspector_evidence(spark, sf_dir):
+    entities, provenance, availability = tables(spark, sf_dir, "entities", "provenance", "availability")
+    return access.evidence_rows(entities.select("bundle_id", "id", F.lit("*").alias("field"), F.col("star").alias("ref")), provenance, availability)
+
+
+@query(with_clause("entities", "provenance", "availability") + LEDGER + """, n AS (SELECT bundle_id, count(*) AS applicable, count(*) FILTER (bucket = 'observed') AS o, count(*) FILTER (bucket IN ('inferred', 'annotated')) AS h, count(*) FILTER (bucket = 'hidden') AS x FROM ledger GROUP BY 1)
+SELECT bundle_id, applicable, CASE WHEN o / applicable >= 0.9 THEN 'seen' WHEN x / applicable >= 0.2 THEN 'hidden' WHEN h >= o THEN 'helped' ELSE 'partly' END AS readout FROM n""")
+def inspector_readout(spark, sf_dir):
+    return access.readout(_ledger(spark, sf_dir))
+
+
+REGISTRY = [("effect_return", 1, "reaper", "PROMO"), ("submix", 2, "reaper", "PROMO"), ("track", 3, "reaper", "SMALL"), ("submix", 2, "cubase", "LARGE"), ("scene", 4, "ableton_live", "SMALL")]
+
+
+@query(with_clause("snapshots", "entities") + f", reg(concept_id, r, daw, wire_type) AS (VALUES {', '.join(map(str, REGISTRY))})" + """
+SELECT e.bundle_id, e.id, coalesce(string_agg(g.concept_id, ',' ORDER BY g.r), '') AS concepts FROM entities e JOIN snapshots s USING (bundle_id) LEFT JOIN reg g ON g.daw = s.daw AND g.wire_type = e.family WHERE e.entity_type = 'PROCESSOR' GROUP BY ALL""")
+def concept_lookup(spark, sf_dir):
+    snapshots, entities = tables(spark, sf_dir, "snapshots", "entities")
+    rows = entities.where("entity_type = 'PROCESSOR'").join(snapshots.select("bundle_id", "daw"), "bundle_id").select("bundle_id", "id", "daw", F.col("family").alias("wire_type"))
+    registry = spark.createDataFrame(REGISTRY, "concept_id string, concept_rank int, daw string, wire_type string")
+    return access.concepts_of(rows, registry).select("bundle_id", "id", F.array_join("concepts", ",").alias("concepts"))
+
+
+def _tracks(spark, sf_dir):
+    orders = tables(spark, sf_dir, "orders")[0].select(F.col("o_custkey").alias("pair_id"), F.col("o_orderkey").alias("ord"), F.concat(F.lit("Song "), (F.col("o_orderkey") % 9).cast("string")).alias("name"), F.when(F.col("o_orderpriority") == "5-LOW", "return").otherwise("audio").alias("kind"), F.col("o_totalprice").alias("volume_db"), "o_orderdate")
+    return orders.where("o_orderdate < timestamp'1997-01-01'").drop("o_orderdate"), orders.drop("o_orderdate")
+
+
+@query("""WITH t AS (SELECT o_custkey AS pair_id, o_orderkey AS ord, 'Song ' || (o_orderkey % 9) AS name, o_totalprice AS v, o_orderdate < TIMESTAMP '1997-01-01' AS old FROM orders WHERE o_orderpriority <> '5-LOW'),
+x AS (SELECT pair_id, name, max_by(v, ord) AS v FROM t WHERE old GROUP BY ALL), y AS (SELECT pair_id, name, max_by(v, ord) AS v FROM t GROUP BY ALL)
+SELECT y.pair_id, CASE WHEN x.name IS NULL THEN 'added' ELSE 'volume' END AS change, y.name, x.v AS old, CASE WHEN x.name IS NOT NULL THEN y.v END AS new FROM y LEFT JOIN x USING (pair_id, name) WHERE x.v IS DISTINCT FROM y.v""")
+def session_track_changes(spark, sf_dir):
+    return sessiondiff.track_changes(*_tracks(spark, sf_dir))
+
+
+@query(with_clause("lines") + """, b AS (SELECT bundle_id AS pair_id, okey AS track, l_returnflag AS processor, count(*) FILTER (l_shipdate < TIMESTAMP '1998-07-01') AS n0, count(*) AS n1 FROM lines GROUP BY ALL)
+SELECT pair_id, track, processor, 'added' AS change, n1 - n0 AS n FROM b WHERE n1 > n0""")
+def session_processor_changes(spark, sf_dir):
+    lines = tables(spark, sf_dir, "lines")[0].select(F.col("bundle_id").alias("pair_id"), F.col("okey").alias("track"), F.col("l_returnflag").alias("processor"), "l_shipdate")
+    return sessiondiff.processor_changes(lines.where("l_shipdate < timestamp'1998-07-01'"), lines)
+
+
+@query("""WITH n AS (SELECT vec_id, label, [x::DOUBLE for x in embedding] AS v FROM embeddings WHERE vec_id % 5 = vec_id % 5), p AS (
+  SELECT a.vec_id AS id, b.vec_id AS other, round_even(greatest(0, least(1, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))))), 4)::DOUBLE AS similarity FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM p) SELECT id, rank::INTEGER AS rank, other, similarity FROM r WHERE rank <= 3""".replace(" WHERE vec_id % 5 = vec_id % 5", ""))
+def fingerprint_nearest(spark, sf_dir):
+    rows = tables(spark, sf_dir, "embeddings")[0].select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
+    return similarity.nearest(rows, "label", 3)
+
+
+@query(SAMPLES + """, f AS (SELECT audio_id, i // 16 AS frame, sqrt(avg(x * x)) AS r FROM s GROUP BY ALL)
+SELECT audio_id, count(*) AS frames, count(*) FILTER (r > 0 AND 20 * log10(CASE WHEN r > 0 THEN r END) > 30) AS active, round(count(*) FILTER (r > 0 AND 20 * log10(CASE WHEN r > 0 THEN r END) > 30) / count(*), 6) AS activity_ratio FROM f GROUP BY 1""")
+def signal_activity(spark, sf_dir):
+    out = signal.activity(_samples(spark, sf_dir), 16, 30.0)
+    return out.withColumn("activity_ratio", F.round("activity_ratio", 6))
+
+
+@query(with_clause("entities", "relationships") + """
+SELECT r.bundle_id, r.id, coalesce(a.name, r.source) || ' → ' || coalesce(b.name, r.target) AS label FROM relationships r LEFT JOIN entities a ON r.bundle_id = a.bundle_id AND r.source = a.id LEFT JOIN entities b ON r.bundle_id = b.bundle_id AND r.target = b.id WHERE r.rel_type = 'CHANNEL_SENDS_TO'""")
+def delta_edge_labels(spark, sf_dir):
+    entities, relationships = tables(spark, sf_dir, "entities", "relationships")
+    return delta.edge_labels(relationships.where("rel_type = 'CHANNEL_SENDS_TO'"), entities).select("bundle_id", "id", "label")
+
+
+@query(with_clause("relationships").replace("WITH ", "WITH RECURSIVE ", 1) + """, d AS (SELECT c_custkey AS bundle_id, 'm' || c_custkey AS id FROM customer UNION SELECT d.bundle_id, r.source FROM d JOIN relationships r ON r.bundle_id = d.bundle_id AND r.target = d.id AND r.rel_type IN ('CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO'))
+SELECT bundle_id, id FROM d""")
+def graph_feeding_master(spark, sf_dir):
+    customer, relationships = tables(spark, sf_dir, "customer", "relationships")
+    back = relationships.where("rel_type in ('CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO')").select("bundle_id", F.col("target").alias("source"), F.col("source").alias("target"))
+    roots = customer.select(F.col("c_custkey").alias("bundle_id"), F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("root"))
+    return graph.descendants(back, roots).select("bundle_id", "id")
+
+
+@query("SELECT (o_orderkey % 5)::INTEGER AS concept_id, o_orderstatus AS status, count(*) AS results, round(avg(o_totalprice), 4) AS mean_confidence FROM orders GROUP BY ALL")
+def metric_alignment(spark, sf_dir):
+    rows = tables(spark, sf_dir, "orders")[0].select((F.col("o_orderkey") % 5).cast("int").alias("concept_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("confidence"))
+    out = metrics.alignment_metrics(rows)
+    return out.withColumn("mean_confidence", F.round("mean_confidence", 4))
