@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, actions hand n rows at a time to Python: wide rows stay small in memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,8 +54,13 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows of a few numbers up to which a table is broadcast, some ten megabytes; a larger one is shuffled.
+SMALL = 400_000
+
+
+def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, with a broadcast hint if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
@@ -52,13 +71,14 @@ def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b"
     """
     both = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = written(both.union(both.select("other", "node")).where("node <> other").distinct(), "links")
+    hint = F.broadcast if both.count() <= SMALL else (lambda df: df)
     label = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "roots")
     for _ in range(rounds):
         # the smallest label among a node's neighbours, then one jump to that label's own label
-        seen = both.join(label.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        step = label.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
+        seen = both.join(hint(label.withColumnRenamed("node", "other")), "other").groupBy("node").agg(F.min("root").alias("near"))
+        step = seen.join(hint(label), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = label.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = step.join(up, "root", "left").select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root"))
+        step = step.join(hint(up), "root", "left").select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root"))
         step = written(step, "roots")
         label = step.select("node", "root")
         if step.where("was <> root").isEmpty():

@@ -10,8 +10,10 @@ Jaccard similarity, and a text costs about one hash for each shingle and m log m
 Texts with equal shingle multisets are one node. Nodes that share a band are candidates; a link is a
 pair whose multiset overlap, counted exactly, is at least the threshold; classes are connected
 components. Inside a bucket every node is first compared with one of its nodes; then only nodes still
-in different components are compared: all of them in small buckets, neighbours in a random order and
-at last the rest in large ones. No candidate is dropped, and pairs already connected are never made.
+in different components are compared: all of them in small buckets, neighbours in a random order in
+large ones. What large buckets leave unconnected is joined exactly by rare shingles: two multisets
+this similar share one of each one's few rarest elements (prefix filtering), so that texts which only
+share a template never meet. No candidate is dropped, and pairs already connected are never made.
 
 Defined results: a null or wordless text has no shingles and is a class of its own; a text of one to
 four words is one shingle; repeated rows and copies fall into one class, the smallest doc_id (nulls
@@ -26,19 +28,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .common import components, fresh, table, written
+from .common import arrow_rows, components, fresh, leading, sized, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
 #: Nodes up to which all pairs of a bucket's components are compared at once.
 SMALL = 16
+#: Nodes of a large bucket that are put in order together.
+STRETCH = 256
+#: Multisets up to which their sizes and parities are broadcast, some ten megabytes.
+SMALL_BAGS = 50_000
 #: Characters handled together in a task, words that a task remembers.
-SLICE, MEMO = 1_000_000, 400_000
+SLICE, MEMO = 500_000, 200_000
+#: Nodes that element frequencies are counted on, elements whose frequency is known: they set an order only.
+SAMPLE, COMMON = 2000, 100_000
+#: Bits of a multiset's parity, a multiple of 64.
+PARITY = 1024
 
 WORD = re.compile(r"\w+")
 U = np.uint64
@@ -167,8 +177,26 @@ def sign(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(work, "uid long, doc_id string, tk binary, bag binary, n long, bands array<long>")
 
 
+def multiset_elements(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash for every occurrence of every shingle."""
+    nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    return mix(np.repeat(h, w) + nth.astype(U))
+
+
+def parity(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """PARITY bits, each whether an odd number of elements falls on it: two sets differ in as many elements at least as bits."""
+    odd = np.bincount((multiset_elements(h, w) % U(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_reach(threshold: float, n: str, m: str, x: str, y: str) -> Column:
+    """Whether sizes and parities allow the similarity: the sets may differ in (n + m)(1 - t) / (1 + t) elements at most."""
+    bits = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, PARITY // 64)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+    return (F.least(n, m) >= threshold * F.greatest(n, m)) & (bits <= (F.col(n) + F.col(m)) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+
+
 def shingle_table(texts: DataFrame) -> DataFrame:
-    """(node, tk, text) to (node, n, shingles, weights): sorted 64-bit hashes, and 32-bit weights."""
+    """(node, tk, text) to (node, n, shingles, weights, parity): sorted 64-bit hashes, 32-bit weights."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
@@ -177,10 +205,10 @@ def shingle_table(texts: DataFrame) -> DataFrame:
             for a, b in slices(texts):
                 text, shingle, weight = shingler.bags(texts[a:b])
                 cut = np.searchsorted(text, np.arange(b - a + 1))
-                out += [(int(weight[x:y].sum()), shingle[x:y].tobytes(), weight[x:y].astype("<u4").tobytes()) for x, y in zip(cut, cut[1:], strict=False)]
-            yield pd.DataFrame({"node": batch["node"]}).join(pd.DataFrame(out, columns=["n", "shingles", "weights"]))
+                out += [(int(weight[x:y].sum()), shingle[x:y].tobytes(), weight[x:y].astype("<u4").tobytes(), parity(shingle[x:y], weight[x:y])) for x, y in zip(cut, cut[1:], strict=False)]
+            yield pd.DataFrame({"node": batch["node"]}).join(pd.DataFrame(out, columns=["n", "shingles", "weights", "parity"]))
 
-    return texts.mapInPandas(work, "node long, n long, shingles binary, weights binary")
+    return texts.mapInPandas(work, "node long, n long, shingles binary, weights binary, parity array<long>")
 
 
 @F.pandas_udf(DoubleType())
@@ -197,14 +225,62 @@ def overlap(sa: pd.Series, wa: pd.Series, sb: pd.Series, wb: pd.Series) -> pd.Se
 
 
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) among distinct pairs of nodes; sizes are compared first."""
-    size = bags.select("node", "n")
+    """Links (a, b) among distinct pairs of nodes; sizes and parities are compared before any multiset is moved."""
+    size = sized(bags.select("node", "n", "parity"), SMALL_BAGS)
     near = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = near.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    near = near.where(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("a", "b")
+    near = near.join(size.withColumnsRenamed({"node": "a", "n": "na", "parity": "pa"}), "a").join(size.withColumnsRenamed({"node": "b", "n": "nb", "parity": "pb"}), "b")
+    near = near.where(may_reach(threshold, "na", "nb", "pa", "pb")).select("a", "b")
     near = near.join(bags.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa")), "a")
     near = near.join(bags.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb")), "b")
-    return written(near.withColumn("s", overlap("sa", "wa", "sb", "wb")).where(F.col("s") >= threshold - 1e-12).select("a", "b"), "verified")
+    with arrow_rows(pairs.sparkSession, 200):
+        return written(near.withColumn("s", overlap("sa", "wa", "sb", "wb")).where(F.col("s") >= threshold - 1e-12).select("a", "b"), "verified")
+
+
+def ranked(shingles: bytes, weights: bytes, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A multiset's elements (a shingle's every occurrence is one), rarest first; what isn't in common is rarest."""
+    e = multiset_elements(np.frombuffer(shingles, dtype=U), np.frombuffer(weights, dtype="<u4").astype(np.int64)).view(np.int64)
+    if not len(common):
+        return np.sort(e)
+    at = np.minimum(np.searchsorted(common, e), len(common) - 1)
+    return e[np.lexsort((e, np.where(common[at] == e, count[at], 0)))]
+
+
+def element_rows(bags: DataFrame, common: np.ndarray, count: np.ndarray, share: float) -> DataFrame:
+    """bags (node, root, n, shingles, weights, parity) to (node, root, n, element, parity), for each the rarest n - ceil(share n) + 1."""
+    table_ = bags.sparkSession.sparkContext.broadcast((common, count))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [ranked(s, w, *table_.value)[: int(n) - int(np.ceil(n * share - 1e-9)) + 1] for s, w, n in zip(batch["shingles"], batch["weights"], batch["n"], strict=True)]
+            size = [len(x) for x in parts]
+            out = batch[["node", "root", "n", "parity"]].loc[batch.index.repeat(size)].reset_index(drop=True)
+            yield out.assign(element=np.concatenate(parts) if parts else [])
+
+    return bags.select("node", "root", "n", "shingles", "weights", "parity").mapInPandas(work, "node long, root long, n long, parity array<long>, element long")
+
+
+def rare_pairs(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """nodes (node, root) to pairs (a, b) of different roots that share one of each one's rarest elements.
+
+    Of n elements the rarest n - ceil(threshold n) + 1 are enough: were none of them shared, fewer than
+    threshold n would be. Any order of elements common to all nodes gives every pair; the one used
+    counts elements over about SAMPLE nodes and knows the COMMON most frequent.
+    """
+    own = bags.join(nodes, "node")
+    share = min(1.0, SAMPLE / max(1, nodes.count()))
+    drawn = own.where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
+    none = np.zeros(0, dtype=np.int64)
+    with arrow_rows(nodes.sparkSession, 500):
+        seen = written(element_rows(drawn, none, none, 0.0).groupBy("element").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "seen")
+        top = leading(seen, "f", COMMON).orderBy(F.desc("f"), "element").limit(COMMON).collect()
+        top.sort(key=lambda r: r["element"])
+        common, count = (np.array([r[c] for r in top], dtype=np.int64) for c in ("element", "f"))
+        first = written(element_rows(own, common, count, threshold), "prefixes")
+    mixed = first.groupBy("element").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("element")
+    first = written(first.join(sized(written(mixed, "mixed")), "element", "left_semi"), "prefixes")
+    other = first.select("element", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("parity").alias("q"))
+    near = (F.col("root") < F.col("other")) & may_reach(threshold, "n", "m", "parity", "q")
+    return first.join(other, "element").where(near).select(F.col("node").alias("a"), "b")
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, uid: str | None = None) -> DataFrame:
@@ -212,7 +288,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, uid: str | None
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select((F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), F.col("doc_id").cast("string").alias("doc_id"), F.unhex(F.md5(text)).alias("tk"), text.alias("text"))
-    signed = written(sign(keyed), "signed")
+    with arrow_rows(spark, 2000):
+        signed = written(sign(keyed), "signed")
     # one node for each distinct multiset, and a text that has it
     nodes = signed.where("bag is not null").groupBy("bag").agg(F.min_by(F.struct("tk", "n", "bands"), "uid").alias("x"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "bag", "x.tk", "x.n", "x.bands"), "nodes")
@@ -223,29 +300,34 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, uid: str | None
 
     wanted = members.select("node").distinct().join(nodes.select("node", "tk"), "node")
     texts = keyed.select("tk", "text").join(wanted, "tk").dropDuplicates(["node"])
-    bags = written(shingle_table(texts), "bags")
+    with arrow_rows(spark, 1000):
+        bags = written(shingle_table(texts), "bags")
 
     links = verified(members.select(F.col("node").alias("a"), F.col("first").alias("b")), bags, threshold)
     roots = components(spark, links)
-    for turn in ("neighbours", "rest"):
-        at = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for turn in ("near", "rest"):
+        at = members.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = at.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "key")
-        open_ = written(at.join(written(mixed, "mixed"), ["band", "key"], "left_semi"), "open")
-        small = F.col("size") <= SMALL if turn == "neighbours" else F.lit(False)
-        order = Window.partitionBy("band", "key").orderBy(F.xxhash64("node", "band"))
-        near = open_.withColumn("b", F.lag("node").over(order)).withColumn("other", F.lag("root").over(order))
-        near = near.where("b is not null and root <> other").select(F.col("node").alias("a"), "b")
-        x, y = open_.where(small if turn == "neighbours" else F.lit(True)), open_.select("band", "key", F.col("node").alias("b"), F.col("root").alias("other"))
-        across = x.join(y, ["band", "key"]).where("root < other").select(F.col("node").alias("a"), "b")
-        pairs = near.union(across) if turn == "neighbours" else across
-        more = verified(pairs, bags, threshold)
-        if more.isEmpty() and turn == "rest":
-            break
-        links = written(links.union(more).distinct(), "links")
+        open_ = written(at.join(sized(written(mixed, "mixed")), ["band", "key"], "left_semi"), "open")
+        if turn == "near":
+            # a large bucket's order is cut into stretches, so that no task sorts a whole one
+            stretch = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / STRETCH).cast("long"))
+            order = Window.partitionBy("band", "key", stretch).orderBy(F.xxhash64("node", "band"))
+            near = open_.withColumn("b", F.lag("node").over(order)).withColumn("other", F.lag("root").over(order))
+            near = near.where("b is not null and root <> other").select(F.col("node").alias("a"), "b")
+            small = open_.where(F.col("size") <= SMALL)
+            across = small.join(small.select("band", "key", F.col("node").alias("b"), F.col("root").alias("other")), ["band", "key"])
+            pairs = near.union(across.where("root < other").select(F.col("node").alias("a"), "b"))
+        else:
+            left = written(open_.where(F.col("size") > SMALL).select("node", "root").distinct(), "left")
+            if left.isEmpty():
+                break
+            pairs = rare_pairs(left, bags, threshold)
+        links = written(links.union(verified(pairs, bags, threshold)).distinct(), "links")
         roots = components(spark, links)
 
     rows = signed.select("uid", F.col("doc_id").cast("long").alias("doc_id"), "bag").join(nodes.select("bag", "node"), "bag", "left")
-    rows = rows.join(roots, "node", "left").select("uid", "doc_id", F.coalesce("root", "node").alias("root"))
+    rows = rows.join(sized(roots), "node", "left").select("uid", "doc_id", F.coalesce("root", "node").alias("root"))
     rows = written(rows, "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid"))
     groups = written(rows.where("root is not null").groupBy("root").agg(first.alias("f"), F.count(F.lit(1)).alias("class_size")), "groups")
