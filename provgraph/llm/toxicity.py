@@ -33,8 +33,8 @@ from .common import fresh, leading, table, written
 
 POSITIVES, NEGATIVES, TERMS = 4000, 8000, 4096
 FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 2e-4
-#: A term is counted once this many labelled texts have it.
-SUPPORT = 6
+#: A term counts once this many labelled texts have it and its log odds are this many standard errors from none.
+SUPPORT, SURE = 6, 3.5
 BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 LENGTHS = 24
@@ -167,7 +167,7 @@ def choose_terms(rows: DataFrame, most: int = TERMS) -> DataFrame:
     found = found.where(F.col("n") >= SUPPORT).crossJoin(F.broadcast(n.select(F.col("n").alias("all"), F.col("p").alias("pos"))))
     there, away = (F.col("p") + 0.5) / (F.col("pos") + 1), (F.col("n") - F.col("p") + 0.5) / (F.col("all") - F.col("pos") + 1)
     spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") - F.col("p") + 0.5))
-    found = found.withColumn("z", F.abs(F.log(there / away)) / spread)
+    found = found.withColumn("z", F.abs(F.log(there / away)) / spread).where(F.col("z") >= SURE)
     return leading(written(found.select("term", "z"), "terms"), "z", most).orderBy(F.desc("z"), "term").limit(most).select("term")
 
 
