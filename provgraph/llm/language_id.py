@@ -48,6 +48,12 @@ def pieces(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(kept)}
 
 
+@functools.cache
+def beginnings(path: str) -> frozenset[str]:
+    """Every string that some piece begins with."""
+    return frozenset(p[:n] for p in pieces(path) for n in range(1, len(p) + 1))
+
+
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -59,7 +65,7 @@ class Lattice:
     algorithm is one array operation over all words.
     """
 
-    def __init__(self, found: list[str], known: dict[str, int]):
+    def __init__(self, found: list[str], known: dict[str, int], begun: frozenset[str] | None = None):
         start, end, piece, word = [], [], [], []
         unknown = len(known)
         self.lengths = np.array([len(w) + 1 for w in found], dtype=np.int64)
@@ -69,7 +75,10 @@ class Lattice:
             for b in range(len(w)):
                 covered = False
                 for e in range(b + 1, min(len(w), b + LONGEST) + 1):
-                    p = known.get(w[b:e])
+                    part = w[b:e]
+                    if begun is not None and part not in begun:
+                        break
+                    p = known.get(part)
                     if p is not None:
                         start.append(at + b)
                         end.append(at + e)
@@ -158,44 +167,52 @@ def learn(docs: DataFrame, path: str = vocab.PIECES) -> tuple[list[str], np.ndar
 
 
 class Model:
+    """Predicts languages in a task; a word's log probabilities are a row of a table that the memo points into."""
+
     def __init__(self, langs: list[str], logp: np.ndarray, path: str):
-        self.langs, self.logp, self.known, self.memo = langs, logp, pieces(path), {}
+        self.langs, self.logp, self.known, self.begun = langs, logp, pieces(path), beginnings(path)
+        self.memo: dict[str, int] = {}
+        self.table, self.used = np.zeros((1024, max(1, len(langs)))), 0
+
+    def learn(self, new: list[str], chars: int = 200_000) -> None:
+        at = 0
+        while at < len(new):
+            end, n = at, 0
+            while end < len(new) and (n < chars or end == at):
+                n, end = n + len(new[end]), end + 1
+            rows = Lattice(new[at:end], self.known, self.begun).word_logp(self.logp)
+            while self.used + len(rows) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[self.used : self.used + len(rows)] = rows
+            self.memo.update(zip(new[at:end], range(self.used, self.used + len(rows)), strict=True))
+            self.used += len(rows)
+            at = end
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """A language for each text, and its share of the summed probability of all, a word's evidence at a time."""
-        counts = [Counter(words(t or "")) for t in texts]
-        if len(self.memo) > MEMO:
+        """A language for each text, and its share of the summed probability of all."""
+        if self.used > MEMO:
             self.memo.clear()
-        new = [w for w in {w for c in counts for w in c} if w not in self.memo]
-        kept = self.memo
-        if new and self.langs:
-            rows = self.chunks(new)
-            kept.update((w, rows[i]) for i, w in enumerate(new))
+            self.used = 0
+        memo, counts = self.memo, [Counter(words(t or "")) for t in texts]
+        new = [w for w in {w for c in counts for w in c} if w not in memo]
+        if self.langs:
+            self.learn(new)
         names, scores = [], []
         for c in counts:
             if not c or not self.langs:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            total = np.array([kept[w] for w in c]).T @ np.array([*c.values()], dtype=float)
+            rows = np.fromiter(map(memo.__getitem__, c), dtype=np.int64, count=len(c))
+            total = np.fromiter(c.values(), dtype=float, count=len(c)) @ self.table[rows]
             best = int(total.argmax())
             names.append(self.langs[best])
             scores.append(float(1 / np.exp(np.maximum(-700, total - total[best])).sum()))
         for w in new:
-            if len(w) > 40:
-                kept.pop(w, None)
+            if len(w) > 64:
+                memo.pop(w, None)
         return names, scores
 
-    def chunks(self, new: list[str], chars: int = 200_000) -> np.ndarray:
-        out, at = [], 0
-        while at < len(new):
-            end, n = at, 0
-            while end < len(new) and (n < chars or end == at):
-                n, end = n + len(new[end]), end + 1
-            out.append(Lattice(new[at:end], self.known).word_logp(self.logp))
-            at = end
-        return np.concatenate(out)
-
 
 def predicted(docs: DataFrame, langs: list[str], logp: np.ndarray, path: str = vocab.PIECES) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
