@@ -275,11 +275,11 @@ def between_letters(b: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, in
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str = "none", letters: bool = False) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept, the bytes that stay; letters: no letter is cut in two."""
+    """docs with n_bytes, n_removed, n_spans and kept, the bytes that stay, in place of columns of these names; letters: no letter is cut in two."""
     spans = repeated_spans(docs, length, k, keep)
     by_text = spans.groupBy("tk").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("tk", F.unhex(F.md5(text)))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.md5(text)).alias("tk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text.cast("binary").alias("bytes"))
     copies = docs.select(F.unhex(F.md5(text)).alias("tk"), F.octet_length(text).alias("n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
     copies = copies.where(F.col("n") >= length).groupBy("tk").agg(F.count(F.lit(1)).alias("copies"), F.min("d").alias("first")).where("copies > 1")
     facts = written(by_text.join(copies, "tk", "full_outer"), "facts")
@@ -295,10 +295,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str
 
     gone = F.col("copies") > 1
     if keep == "first":
-        gone = gone & (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) > F.col("first"))
-    out = rows.join(facts, "tk", "left").withColumn("_b", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    out = out.withColumn("_c", cut("_b", "spans", F.coalesce(gone, F.lit(False))))
-    return out.select(*docs.columns, F.octet_length("_b").cast("long").alias("n_bytes"), "_c.n_removed", "_c.n_spans", "_c.kept")
+        gone = gone & (F.col("d") > F.col("first"))
+    out = rows.join(facts, "tk", "left").withColumn("cut", cut("bytes", "spans", F.coalesce(gone, F.lit(False))))
+    results = {"n_bytes": F.octet_length("bytes").cast("long"), **{c: F.col(f"cut.{c}") for c in ("n_removed", "n_spans", "kept")}}
+    return out.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in results), *(x.alias(c) for c, x in results.items()))
 
 
 def keep_first(docs: DataFrame, length: int = LENGTH) -> DataFrame:
