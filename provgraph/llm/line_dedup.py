@@ -5,7 +5,7 @@ other, at a place that the lengths and the edits before and after it bound. Each
 its own segments and, for every length it may match, the few substrings at those places; equal keys
 (length, segment, content) make candidates. Keys that one line alone has are dropped by a count before
 anything is joined. A candidate pair is compared first by the parity of its letters, of which TAU edits
-change at most 2 * TAU bits; keys with more than HOT lines are split by the parity's parts, one of
+change at most 2 * TAU bits, then by that of its pairs of letters; keys with more than HOT lines are split by the parity's parts, one of
 which must agree. The edit distance is then verified by a band of 2 * TAU + 1 bits for each number of
 errors, advanced letter by letter.
 
@@ -24,13 +24,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, table, written
+from .common import components, fresh, sized, table, written
 
 TAU, LEAST = 2, 24
 #: Rows of a key up to which its pairs are formed directly.
 HOT = 64
-#: A table of up to this many rows of two or three numbers is broadcast, a larger one is shuffled.
-SMALL = 500_000
 OWN, PROBE = 1, 2
 
 
@@ -40,26 +38,29 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def segment(n: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of the i-th of parts segments of a line of n letters; the last ones are longer."""
-    base, more = F.floor(n / parts), n % parts
-    return i * base + F.greatest(F.lit(0), i - (parts - more)), base + F.when(F.lit(i) >= parts - more, 1).otherwise(0)
+def places(tau: int) -> list[tuple[int, int, int, int]]:
+    """(shorter, i, shift, kind): where in a line the i-th segment of one that is shorter by so many letters may stand.
 
-
-def keys_of(line: str = "line", tau: int = TAU, least: int = LEAST) -> Column:
-    """The line's own segments and the substrings that may be segments of an equal or shorter line, as (key, kind)."""
-    n, found = F.char_length(line), []
+    Edits before a segment shift it by at most i, those behind it by at most tau - i against the difference.
+    """
+    found = []
     for shorter in range(tau + 1):
-        length = n - shorter
         for i in range(tau + 1):
-            start, size = segment(length, i, tau + 1)
-            # edits before the segment shift it by at most i, those behind it by at most tau - i against the difference
             for shift in range(max(-i, shorter - (tau - i)), min(i, shorter + (tau - i)) + 1):
-                content = F.substring(F.col(line), (start + shift + 1).cast("int"), size.cast("int"))
-                kind = OWN | PROBE if shorter == 0 and shift == 0 else PROBE
-                key = F.struct(F.xxhash64(length, F.lit(i), content).alias("key"), F.lit(kind).alias("kind"))
-                found.append(F.when((length >= least) & (start + shift >= 0), key))
-    return F.array_compact(F.array(*found))
+                found.append((shorter, i, shift, OWN | PROBE if shorter == shift == 0 else PROBE))
+    return found
+
+
+def keyed_lines(lines: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+    """(key, kind, h1, h2): each line's own segments, and the substrings that may be segments of an equal or shorter line."""
+    marks = F.array(*(F.struct(*(F.lit(x).alias(name) for x, name in zip(p, ("shorter", "i", "shift", "kind"), strict=True))) for p in places(tau)))
+    rows = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= least).select("h1", "h2", "line", "n", F.explode(marks).alias("q"))
+    # segments of n div parts letters, the last ones of one more
+    rows = rows.select("h1", "h2", "line", "q.i", "q.shift", "q.kind", (F.col("n") - F.col("q.shorter")).alias("m")).where(F.col("m") >= least)
+    rows = rows.select("*", F.expr(f"m div {tau + 1}").cast("int").alias("base"), (tau + 1 - F.col("m") % (tau + 1)).cast("int").alias("longer_from"))
+    start = F.col("i") * F.col("base") + F.greatest(F.lit(0), F.col("i") - F.col("longer_from")) + F.col("shift")
+    rows = rows.select("h1", "h2", "line", "kind", "m", "i", start.alias("start"), (F.col("base") + (F.col("i") >= F.col("longer_from")).cast("int")).alias("size")).where("start >= 0")
+    return rows.select(F.xxhash64("m", "i", F.substring("line", F.col("start") + 1, F.col("size"))).alias("key"), "kind", "h1", "h2")
 
 
 def letters(line: str) -> Column:
@@ -72,6 +73,13 @@ def parity(line: str = "line") -> Column:
     return F.aggregate(letters(line), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(bit(c)))
 
 
+def pair_parity(line: str = "line") -> Column:
+    """As parity, of the line's pairs of neighbouring letters, of which an edit changes at most four."""
+    of = letters(line)
+    pairs = F.zip_with(F.slice(of, 1, F.greatest(F.lit(0), F.size(of) - 1)), F.slice(of, 2, F.size(of)), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(60)).cast("int"))
+    return F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+
+
 def part(parity_: Column, j: int, tau: int = TAU) -> Column:
     """The j-th of 2 * tau + 1 parts of a parity."""
     width = 60 // (2 * tau + 1)
@@ -107,15 +115,9 @@ def edits(a: str, b: str, tau: int = TAU) -> Column:
     return F.when(F.abs(place) > tau, F.lit(tau + 1)).otherwise(F.aggregate(steps, begin, step, result))
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """df, with a broadcast hint if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
 def candidates(lines: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """(key, kind, h1, h2): keys that several lines have, with those lines."""
-    able = lines.where(F.char_length("line") >= least)
-    keyed = able.select("h1", "h2", F.explode(keys_of("line", tau, least)).alias("k")).select("k.key", "k.kind", "h1", "h2")
+    keyed = keyed_lines(lines, tau, least)
     seen = keyed.groupBy("key").agg(F.bit_or("kind").alias("kinds"), F.min("h1").alias("x"), F.max("h1").alias("y"))
     shared = written(seen.where((F.col("kinds") == (OWN | PROBE)) & (F.col("x") != F.col("y"))).select("key"), "keys")
     return written(keyed.join(sized(shared), "key").groupBy("key", "h1", "h2").agg(F.bit_or("kind").alias("kind")), "hits")
@@ -126,7 +128,7 @@ def near_links(lines: DataFrame, tau: int = TAU, least: int = LEAST) -> tuple[Da
     hits = candidates(lines, tau, least)
     ids = written(hits.select("h1", "h2").distinct(), "ids")
     texts = lines.select("h1", "h2", "line").join(sized(ids), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    nodes = written(texts.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "line", F.char_length("line").alias("n"), parity().alias("parity")), "nodes")
+    nodes = written(texts.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "line", F.char_length("line").alias("n"), parity().alias("parity"), pair_parity().alias("pairs")), "nodes")
 
     rows = hits.join(nodes.select("h1", "h2", "node", "n", "parity"), ["h1", "h2"]).drop("h1", "h2")
     size = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > HOT), "hot")
@@ -142,9 +144,11 @@ def near_links(lines: DataFrame, tau: int = TAU, least: int = LEAST) -> tuple[Da
     near = (F.col("na") <= F.col("nb")) & (F.col("nb") - F.col("na") <= tau) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
     pairs = own.join(probe, ["key", "j", "part"]).where(near & ~earlier & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * tau))
     pairs = pairs.select("a", "b").distinct()
-    pairs = pairs.join(nodes.select(F.col("node").alias("a"), letters("line").alias("la")), "a").join(nodes.select(F.col("node").alias("b"), letters("line").alias("lb")), "b")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("pairs").alias(f"p{x}"), F.col("line").alias(f"l{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * tau)
+    pairs = written(pairs.select("a", "b", letters("la").alias("la"), letters("lb").alias("lb")), "pairs")
     links = pairs.where(edits("la", "lb", tau) <= tau).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return nodes.drop("line", "n", "parity"), written(links, "links")
+    return nodes.select("node", "h1", "h2"), written(links, "links")
 
 
 def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
