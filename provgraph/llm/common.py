@@ -63,27 +63,31 @@ def sized(df: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """Connected components of undirected links: (node, root), root being the smallest node reached.
-
-    Min-label propagation with pointer jumping. Every round is a join and a partial aggregate, its
-    result a written table, so nothing is gathered on the driver; only a changed-row count comes back.
+def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
+    """Connected components of undirected links: (node, root), root being the component's smallest node.
+
+    Every node has a parent, at first its smallest neighbour. In a round, the smallest grandparent among a
+    node's neighbours is handed to the node and to its parent, and each node jumps to its grandparent, so
+    that rounds grow with the logarithm of a chain. It ends when no parent changes: then all nodes of a
+    component have one. Every round is joins and partial aggregates, its results written tables, so
+    nothing is gathered on the driver; only whether rows changed comes back.
     """
     both = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = written(both.union(both.select("other", "node")).where("node <> other").distinct(), "links")
     hint = F.broadcast if both.count() <= SMALL else (lambda df: df)
     label = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("root")), "roots")
     for _ in range(rounds):
-        # the smallest label among a node's neighbours, then one jump to that label's own label
-        seen = both.join(hint(label.withColumnRenamed("node", "other")), "other").groupBy("node").agg(F.min("root").alias("near"))
-        step = seen.join(hint(label), "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = label.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = step.join(hint(up), "root", "left").select("node", "was", F.least("root", F.coalesce("above", "root")).alias("root"))
+        high = label.join(hint(up), "root")
+        seen = both.join(hint(high.select(F.col("node").alias("other"), "above")), "other").groupBy("node").agg(F.min("above").alias("near"))
+        step = written(seen.join(hint(high), "node").select("node", "root", "above", "near"), "near")
+        handed = step.groupBy(F.col("root").alias("node")).agg(F.min("near").alias("handed"))
+        step = step.join(hint(handed), "node", "left").select("node", F.col("root").alias("was"), F.least("root", "above", "near", "handed").alias("root"))
         step = written(step, "roots")
         label = step.select("node", "root")
         if step.where("was <> root").isEmpty():
-            break
-    return label
+            return label
+    raise RuntimeError(f"components: labels still change after {rounds} rounds")
 
 
 def leading(df: DataFrame, score: str, k: int, steps: int = 16) -> DataFrame:
