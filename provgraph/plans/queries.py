@@ -184,7 +184,7 @@ w AS (SELECT bundle_id, source AS root, target AS tip, [source] AS path FROM k W
 SELECT bundle_id, array_to_string(path, '>') AS path FROM w WHERE tip = root""")
 def graph_cycles(spark, sf_dir):
     (relationships,) = tables(spark, sf_dir, "relationships")
-    found = graph.cycles(graph.hops(relationships), longest=4, most=1_000_000)
+    found = graph.cycles(graph.hops(relationships), most=1_000_000)
     return found.select("bundle_id", F.array_join("path", ">").alias("path"))
 
 
