@@ -6,7 +6,8 @@ so a text's log probability is the sum of its words'. The piece probabilities ar
 word counts of a bounded sample of labelled texts; the sample's rows are counted in Spark, and only
 counts of distinct words come to the driver.
 
-Bounds: TRAIN_DOCS texts (in expectation, drawn by a hash of the id) and TRAIN_WORDS words a language.
+Bounds: TRAIN_DOCS texts a language (in expectation, drawn by a hash of the id; all where it has no more)
+and TRAIN_WORDS words a language. For learning, longer words are cut into parts of PART letters.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; rows without lang or id
 are scored but not learnt from; repeated rows are each scored; without any learnt language every text
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from .common import table, written
 TRAIN_DOCS, TRAIN_WORDS, ROUNDS = 8000, 12_000, 4
 #: Added to every piece's expected count, and the probability of a character that no piece covers.
 PRIOR, UNKNOWN = 0.01, 1e-7
-LONGEST, MEMO = 16, 300_000
+LONGEST, MEMO, PART = 16, 300_000, 40
 
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -130,17 +131,24 @@ def train_counts(docs: DataFrame) -> DataFrame:
     from pyspark.sql.window import Window
 
     able = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    share = min(1.0, TRAIN_DOCS / max(1, able.count()))
+    able = able.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    # a row for each language: small
+    share = F.broadcast(able.groupBy("lang").agg((F.lit(float(TRAIN_DOCS)) / F.count(F.lit(1))).alias("share")))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen: defaultdict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                seen.update((lang, w) for w in words(text) if len(w) <= 40)
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["lang", "word", "n"])
-
-    rows = able.where(draw < share).select(F.col("lang").cast("string"), F.col("text").cast("string"))
+                seen[lang].update(words(text))
+        parts: Counter = Counter()
+        for lang, own in seen.items():
+            for w, n in own.items():
+                for at in range(0, len(w), PART):
+                    parts[lang, w[at : at + PART]] += n
+        yield pd.DataFrame([(*k, n) for k, n in parts.items()], columns=["lang", "word", "n"])
+
+    rows = able.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
     found = rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     return written(found.withColumn("r", best).where(F.col("r") <= TRAIN_WORDS).drop("r"), "words")
