@@ -16,19 +16,52 @@ def members(variants: DataFrame) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.partitionBy("family_key").orderBy("ordinal", "snapshot_id")))
 
 
-def depths(variants: DataFrame, most: int = 64) -> DataFrame:
-    """(snapshot_id, depth): derivations above a member; a chain that returns to itself stops there."""
-    parents = variants.select("snapshot_id", "parent").where("parent is not null").join(variants.select(F.col("snapshot_id").alias("parent")), "parent", "left_semi")
-    found = cut(variants.select("snapshot_id", F.lit(0).alias("depth")))
-    at = parents.select("snapshot_id", F.col("parent").alias("at"), F.array("snapshot_id", "parent").alias("seen"), F.lit(1).alias("depth"))
-    for _ in range(most):
-        at = cut(at)
-        if at.isEmpty():
-            break
-        found = cut(found.unionByName(at.select("snapshot_id", "depth")).groupBy("snapshot_id").agg(F.max("depth").alias("depth")))
-        step = parents.select(F.col("snapshot_id").alias("at"), F.col("parent").alias("next"))
-        at = at.join(step, "at").where("not array_contains(seen, next)").select("snapshot_id", F.col("next").alias("at"), F.concat("seen", F.array("next")).alias("seen"), (F.col("depth") + 1).alias("depth"))
-    return found
+def climbed(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """rows (snapshot_id, at, depth), each id once; a top is its own at, at depth 0. To (snapshot_id, at, depth, open), and whether loops are left.
+
+    A round doubles the steps that at is away. Rows still open after more steps than there are rows lead
+    into a loop, and their at is a member of it.
+    """
+    rows, steps = cut(rows), 1
+    n = rows.where("depth > 0").count()
+    while True:
+        up = rows.select(F.col("snapshot_id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        rows = cut(rows.join(up, "at").select("snapshot_id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("open")))
+        if rows.where("open").isEmpty():
+            return rows, False
+        if steps >= n:
+            return rows, True
+        steps *= 2
+
+
+def loop_sizes(parents: DataFrame) -> DataFrame:
+    """parents (snapshot_id, at) that all lie on loops: (snapshot_id, size) of each one's loop."""
+    rows, steps = cut(parents.withColumn("low", F.col("snapshot_id"))), 1
+    n = rows.count()
+    while steps < n:
+        up = rows.select(F.col("snapshot_id").alias("at"), F.col("at").alias("next"), F.col("low").alias("other"))
+        rows = cut(rows.join(up, "at").select("snapshot_id", F.col("next").alias("at"), F.least("low", "other").alias("low")))
+        steps *= 2
+    sizes = rows.groupBy("low").agg(F.count(F.lit(1)).alias("size"))
+    return cut(rows.join(sizes, "low").select("snapshot_id", "size"))
+
+
+def depths(variants: DataFrame) -> DataFrame:
+    """(snapshot_id, depth): derivations above a member, however many; a chain that returns to itself stops there.
+
+    Of several parents of one id the greatest counts.
+    """
+    ids = variants.select("snapshot_id").distinct()
+    parents = variants.select("snapshot_id", F.col("parent").alias("at")).join(ids.withColumnRenamed("snapshot_id", "at"), "at", "left_semi")
+    parents = cut(parents.groupBy("snapshot_id").agg(F.max("at").alias("at")))
+    base = lambda up: ids.join(up, "snapshot_id", "left").select("snapshot_id", F.coalesce("at", "snapshot_id").alias("at"), F.col("at").isNotNull().cast("long").alias("depth"))
+    rows, loops = climbed(base(parents))
+    if loops:
+        # members of loops become tops; above them are the others of their loop
+        sizes = loop_sizes(parents.join(rows.where("open").select(F.col("at").alias("snapshot_id")).distinct(), "snapshot_id", "left_semi"))
+        rows, _ = climbed(base(parents.join(sizes, "snapshot_id", "left_anti")))
+        rows = rows.join(sizes.withColumnRenamed("snapshot_id", "at"), "at", "left").withColumn("depth", F.col("depth") + F.coalesce(F.col("size") - 1, F.lit(0)))
+    return rows.select("snapshot_id", F.col("depth").cast("int").alias("depth"))
 
 
 def derived_from(rows: DataFrame) -> DataFrame:
