@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, table, written
+from .common import fresh, own_columns, scope, table, written
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -54,14 +54,15 @@ def identifier_lists(recipe: DataFrame) -> DataFrame:
 
 def dedup_groups(docs: DataFrame, uid: str | None = None) -> DataFrame:
     """One row per input row: uid, doc_id, keep_id, group_size, kept, text_sha256. uid: a column that tells rows apart."""
-    recipe = written(recipes(docs, uid), "recipes")
-    lists = identifier_lists(recipe)
-    rows = recipe.select("uid", "doc_id", "text_sha256").join(lists, "uid", "left")
-    none = F.array().cast(lists.schema["ids"].dataType)
-    rows = written(rows.withColumn("ids", F.coalesce("ids", none)), "lists")
+    with scope(docs.sparkSession):
+        recipe = written(recipes(docs, uid), "recipes")
+        lists = identifier_lists(recipe)
+        rows = recipe.select("uid", "doc_id", "text_sha256").join(lists, "uid", "left")
+        none = F.array().cast(lists.schema["ids"].dataType)
+        rows = written(rows.withColumn("ids", F.coalesce("ids", none)), "lists", result=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid"))
     # written, so that the join below has exchanges of its own and a hot group's rows can be split
-    groups = written(rows.groupBy("ids").agg(first.alias("f"), F.count(F.lit(1)).alias("group_size")), "groups")
+    groups = written(rows.groupBy("ids").agg(first.alias("f"), F.count(F.lit(1)).alias("group_size")), "groups", result=True)
     out = rows.join(groups, "ids")
     return out.select("uid", "doc_id", F.col("f.doc_id").alias("keep_id"), "group_size", (F.col("uid") == F.col("f.uid")).alias("kept"), "text_sha256")
 
@@ -71,7 +72,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     uid = fresh("uid", docs)
     rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
     kept = dedup_groups(rows, uid).where("kept").select(F.col("uid").alias(uid))
-    return rows.join(kept, uid, "left_semi").select(*docs.columns)
+    return rows.join(kept, uid, "left_semi").select(*own_columns(docs))
 
 
 def op8_chunk_dedup(spark, sf_dir):
