@@ -1,11 +1,11 @@
 """Exact top-k inner-product search by no-random-access aggregation.
 
-Every dimension of a block of vectors is a sorted list, read from the end that a query's weight favours.
-Reading all lists down to one depth gives each vector an upper bound (what it has shown, and the lists'
-frontiers for the rest) and a lower bound (the lists' far ends for the rest). A vector whose upper
-bound is below the k-th best lower bound cannot qualify; reading stops when few are left, and only
-their missing entries are read to resolve the final scores. A round is a product of matrices, so many
-queries read together.
+Every dimension of a block of vectors is a list of (value, row), sorted, and read in sequence from the
+end that a query's weight favours; queries that favour the same end share the reading. A row's lower
+bound starts from the far ends of all lists and rises by what each entry read adds; its upper bound
+puts the lists' frontiers for the entries not read yet. After each slab the k-th best lower bound is the
+bar. Once rows of which nothing was read stay below it, only rows whose upper bound reaches the bar are
+candidates; a query stops when few are left, and their final scores are resolved.
 
 Rows and queries are dealt into blocks of set size; each pair of blocks is one group of one shuffle,
 and a query's best of all blocks are merged by rank. Nothing is broadcast or gathered.
@@ -13,7 +13,8 @@ and a query's best of all blocks are merged by rank. Nothing is broadcast or gat
 Defined results: vectors null, empty or holding null or non-finite components, and rows without a
 vec_id, take no part; vectors meet those of equal length only; a query's own rows are those with its
 vec_id; repeated rows count, and a repeated query row gets rows of its own; components beyond 64-bit
-integers after scaling saturate; an empty table gives no rows.
+integers after scaling saturate, and scores beyond them wrap; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql.window import Window
 from .common import table, written
 
 TOP, EVERY, SCALE = 20, 20, 64
-ROW_BLOCK, QUERY_BLOCK, TOGETHER = 16_384, 2048, 256
-#: Shares of the lists that are read before bounds are compared.
-DEPTHS = (0.7, 0.85, 0.92)
+ROW_BLOCK, QUERY_BLOCK, TOGETHER = 4096, 4096, 128
+#: Shares of the lists after which bounds are compared: the ends of the slabs.
+SLABS = (1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 13 / 16, 7 / 8, 15 / 16, 1)
 #: A query stops reading once this many vectors for each of its k can still qualify.
 FEW = 8
 
@@ -45,32 +46,72 @@ def usable(vector: str = "embedding") -> Column:
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(F.col(vector).cast("array<double>"), finite)
 
 
+class Lists:
+    """The sorted lists of a block of vectors (whole numbers)."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.n = x, len(x)
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.values = np.take_along_axis(x, self.order, axis=0)
+        self.rank = np.argsort(self.order, axis=0, kind="stable")
+        self.read = 0  # entries read for queries, and in resolving scores
+
+    def nearest(self, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each of the queries the rows that can be among its k best, all of these included."""
+        x, n, values = self.x, self.n, self.values
+        found: list[np.ndarray] = [np.arange(n) if n <= k else np.zeros(0, dtype=np.int64)] * len(q)
+        if n <= k:
+            return found
+        largest = 4.0 * float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
+        kind, slack = (np.float32, 0.0) if largest < 2**24 else (np.float64, 0.0 if largest < 2**53 else 1e-9 * largest)
+        least, most = values[0].astype(kind), values[-1].astype(kind)
+        open_ = np.arange(len(q))
+        up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
+        base = up @ least + down @ most  # the bound of a row of which nothing was read
+        lower = np.repeat(base[None], n, axis=0)
+        lower[ids[:, None] == q_ids] = -np.inf
+        a = 0
+        for b in dict.fromkeys(max(1, int(n * share)) for share in SLABS):
+            # one slab of every list, from the top for positive weights, from the bottom for negative ones
+            for d in range(x.shape[1]):
+                if up[:, d].any():
+                    lower[self.order[n - b : n - a, d]] += np.outer(values[n - b : n - a, d].astype(kind) - least[d], up[:, d])
+                if down[:, d].any():
+                    lower[self.order[a:b, d]] += np.outer(values[a:b, d].astype(kind) - most[d], down[:, d])
+            self.read += (b - a) * int(((up > 0) | (down < 0)).sum())
+            a = b
+            high, low = up * (values[n - b].astype(kind) - least), down * (values[b - 1].astype(kind) - most)  # what an entry not read may still add
+            rest = high.sum(1) + low.sum(1)
+            done = np.zeros(len(open_), dtype=bool)
+            # the bar is no higher than the best lower bound: where that won't do, it needn't be known
+            ready = np.flatnonzero(base + rest < lower.max(axis=0) - slack) if b < n else np.arange(len(open_))
+            if len(ready):
+                own = lower[:, ready]
+                bar = np.partition(np.ascontiguousarray(own.T), n - k, axis=1)[:, n - k]
+                over = np.flatnonzero(base[ready] + rest[ready] < bar - slack) if b < n else np.arange(len(ready))
+                ready, bar, upper = ready[over], bar[over], own[:, over] + rest[ready[over]]
+                if b < n and len(ready):
+                    upper -= (self.rank >= n - b).astype(kind) @ high[ready].T + (self.rank < b).astype(kind) @ low[ready].T
+                able = upper >= bar - slack
+                few = np.count_nonzero(able, axis=0) <= FEW * k
+                for j in np.flatnonzero(few) if b < n else range(len(ready)):
+                    done[ready[j]], found[open_[ready[j]]] = True, np.flatnonzero(able[:, j])
+                    self.read += len(found[open_[ready[j]]]) * x.shape[1]
+            if done.any():
+                stay = ~done
+                open_, up, down, base, lower = open_[stay], up[stay], down[stay], base[stay], lower[:, stay]
+                if not len(open_):
+                    break
+        return found
+
+
 def top_of_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of each query's k best rows, ties to the smaller id. x, q: whole numbers."""
-    n = len(x)
-    lists = np.sort(x, axis=0)
-    largest = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * x.shape[1]
-    kind, slack = (np.float32, 0.0) if largest < 2**24 else (np.float64, 0.0 if largest < 2**53 else 1e-9 * largest)
-    out = []
+    lists, out = Lists(x), []
     for at in range(0, len(q), TOGETHER):
-        part, own = q[at : at + TOGETHER], q_ids[at : at + TOGETHER, None] == ids
-        able = ~own
-        up, down = np.maximum(part, 0).astype(kind), np.minimum(part, 0).astype(kind)
-        reading = np.arange(len(part))
-        for depth in DEPTHS:
-            d = int(n * depth)
-            if d == 0 or n - d < k or not len(reading):
-                break
-            high, low = lists[n - d], lists[d - 1]  # frontiers of the lists read from the top, from the bottom
-            upper = up[reading] @ np.maximum(x, high).astype(kind).T + down[reading] @ np.minimum(x, low).astype(kind).T
-            lower = up[reading] @ np.where(x >= high, x, lists[0]).astype(kind).T + down[reading] @ np.where(x <= low, x, lists[-1]).astype(kind).T
-            lower[own[reading]] = -np.inf
-            bar = np.partition(lower, n - k, axis=1)[:, n - k]
-            able[reading] &= upper >= bar[:, None] - slack
-            reading = reading[able[reading].sum(axis=1) > FEW * k]
-        # what can still qualify is read to the end
-        for i in range(len(part)):
-            row = np.flatnonzero(able[i])
+        part, own = q[at : at + TOGETHER], q_ids[at : at + TOGETHER]
+        for i, row in enumerate(lists.nearest(ids, part, own, k)):
+            row = row[ids[row] != own[i]]
             score = x[row] @ part[i]
             order = np.lexsort((ids[row], -score))[:k]
             out.append((np.full(len(order), at + i), row[order], score[order]))
