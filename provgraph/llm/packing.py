@@ -1,9 +1,10 @@
 """Packing by first-fit decreasing over a tournament tree of bin capacities, in randomised groups.
 
 A document's ids, closed by one end id, are cut at multiples of the sequence length; a piece is one
-row. Rows are dealt at random into groups of a set size and each group is packed alone, so that the
-work is one shuffle of small rows and groups never grow with the input, however long a document is
-or however many rows share an id. The sequence length is the only padded length but for powers of two.
+row. A piece as long as a sequence is one. The others, at most one of each document, are counted and
+dealt at random into groups of about GROUP pieces, each packed alone: the work is one shuffle of small
+rows, and groups never grow with the input, however long documents are or however many rows share an
+id. The sequence length is the only padded length but for powers of two.
 
 Defined results: a null text counts as empty and gives a piece that holds the end id only; null or
 repeated doc_ids are kept row by row; other columns are ignored; an empty table gives no rows.
@@ -19,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import table
+from .common import table, written
 
 LENGTH = 4096
 END_ID = 2
-#: Documents dealt to a group; the padding of a group's last bins is spread over them.
-GROUP_DOCS = 2048
+#: Pieces dealt to a group; the padding of a group's last bins is spread over them.
+GROUP = 2048
 
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PACKED = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
@@ -77,30 +78,30 @@ def first_fit(sizes: list[int], capacity: int) -> list[int]:
 def pack_group(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """Rows with columns g (group), row and length, to sequences numbered within the group."""
     rows = rows.sort_values(["length", "row"], ascending=[False, True], kind="stable")
-    rows["sequence_id"] = rows["g"].astype("int64") * 2**32 + first_fit(rows["length"].tolist(), length)
+    rows["sequence_id"] = 2 * (rows["g"].astype("int64") * 2**31 + first_fit(rows["length"].tolist(), length))
     rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
     return rows.drop(columns=["g", "row"])
 
 
-def pack(cut: DataFrame, groups: int, length: int = LENGTH, seed: int = 0) -> DataFrame:
-    """The pieces with a sequence and an offset each; groups: how many random groups to deal them into."""
-    row = F.monotonically_increasing_id()
-    rows = cut.withColumn("row", row).withColumn("g", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)))
-    return rows.groupBy("g").applyInPandas(lambda pdf: pack_group(pdf, length), PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
-def groups_for(docs: DataFrame, size: int = GROUP_DOCS) -> int:
-    return max(1, -(-docs.count() // size))
+def pack(cut: DataFrame, length: int = LENGTH, group: int = GROUP, seed: int = 0) -> DataFrame:
+    """The pieces with a sequence and an offset each; group: how many pieces a random group holds, about."""
+    rows = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces", result=True)
+    full, rest = rows.where(F.col("length") >= length), rows.where(F.col("length") < length)
+    groups = max(1, -(-rest.count() // group))
+    dealt = rest.withColumn("g", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)))
+    packed = dealt.groupBy("g").applyInPandas(lambda pdf: pack_group(pdf, length), PACKED)
+    alone = full.withColumn("sequence_id", 2 * F.col("row") + 1).withColumn("offset", F.lit(0).cast("long")).drop("row")
+    return packed.unionByName(alone).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def packed_plan(docs: DataFrame) -> DataFrame:
     """Where each piece lies, without its ids: only lengths and checksums are shuffled."""
-    return pack(pieces(docs, keep_ids=False), groups_for(docs)).drop("ids")
+    return pack(pieces(docs, keep_ids=False)).drop("ids")
 
 
 def packed_sequences(docs: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
     """(sequence_id, n_tokens, doc_ids, starts, offsets, ids): the sequences themselves, padded."""
-    rows = pack(pieces(docs, length), groups_for(docs), length)
+    rows = pack(pieces(docs, length), length)
     order = F.sort_array(F.collect_list(F.struct("offset", "length", "doc_id", "start", "ids")))
     one = rows.groupBy("sequence_id").agg(order.alias("p"), F.sum("length").alias("n_tokens"))
     full = F.concat(F.array_join(F.transform("p.ids", F.hex), ""))
