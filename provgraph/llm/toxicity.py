@@ -8,7 +8,8 @@ Which terms the model holds is decided by counts of labelled texts, made and add
 machine is then fitted on a bounded sample of labelled rows reduced to those terms, and broadcast.
 Scoring reads every whole text once.
 
-Bounds: POSITIVES and NEGATIVES labelled rows (in expectation, drawn by a hash of the id), TERMS terms.
+Bounds: POSITIVES and NEGATIVES labelled rows (in expectation, drawn by a hash of the id), TERMS terms, FREQUENT
+of them for their frequency alone.
 
 Defined results: null and empty texts get the score of a text without terms; rows without a label or
 an id are scored but not learnt from; repeated rows are each scored; an id with several labels counts
@@ -29,12 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, leading, table, written
+from .common import fresh, leading, own_columns, table, written
 
 POSITIVES, NEGATIVES, TERMS = 4000, 8000, 4096
-FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 2e-4
-#: A term counts once this many labelled texts have it and its log odds are this many standard errors from none.
-SUPPORT, SURE = 6, 3.5
+FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 5e-4
+#: Labelled texts that a term must occur in, and the root of the likelihood ratio from which it counts by itself; the most
+#: frequent terms are held whatever the labels say of each alone, for they may matter in a pair.
+SUPPORT, SURE, FREQUENT = 4, 3.0, 128
+#: The decay of these unsure terms, which have a vector only.
+UNSURE = 0.02
 BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 LENGTHS = 24
@@ -102,8 +106,8 @@ def features(texts, known: dict[int, int], memo: dict[str, tuple]) -> tuple[np.n
     return np.array(start, dtype=np.int64), np.array(term, dtype=np.int64), np.array(value)
 
 
-def fit(rows, label: np.ndarray, importance: np.ndarray, held: np.ndarray, seed: int = 7) -> Machine:
-    """Logistic loss with decay, by Adam over the whole sample; deterministic."""
+def fit(rows, label: np.ndarray, importance: np.ndarray, held: np.ndarray, sure: np.ndarray, seed: int = 7) -> Machine:
+    """Logistic loss with decay, by Adam over the whole sample; deterministic. Terms not sure have no weight, only pairs."""
     start, term, value = rows
     size = len(held) + LENGTHS
     rate = float((label * importance).sum() / importance.sum())
@@ -112,6 +116,7 @@ def fit(rows, label: np.ndarray, importance: np.ndarray, held: np.ndarray, seed:
     text = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(term))))
     importance = importance / importance.sum()
     params, first, second = [weight, vector], [0.0, 0.0], [0.0, 0.0]
+    decay = DECAY, np.where(sure, DECAY, UNSURE)[:, None]
     order = np.argsort(term, kind="stable")
     firsts = np.flatnonzero(np.append(True, np.diff(term[order]) > 0)) if len(order) else order
     present = term[order][firsts]
@@ -122,9 +127,10 @@ def fit(rows, label: np.ndarray, importance: np.ndarray, held: np.ndarray, seed:
         slopes = [np.zeros_like(weight), np.zeros_like(vector)]
         slopes[0][present] = np.add.reduceat(gv, firsts)
         slopes[1][present] = np.add.reduceat(gv[:, None] * (total[text] - vector[term] * value[:, None])[order], firsts)
+        slopes[0][~sure] = 0
         bias -= 0.5 * g.sum()
         for i, p in enumerate(params):
-            slope = slopes[i] + DECAY * p
+            slope = slopes[i] + decay[i] * p
             first[i] = 0.9 * first[i] + 0.1 * slope
             second[i] = 0.99 * second[i] + 0.01 * slope * slope
             p -= RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
@@ -148,7 +154,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float, float]
 
 
 def choose_terms(rows: DataFrame, most: int = TERMS) -> DataFrame:
-    """The terms (as signed hashes) whose counts tell the labels apart best."""
+    """(term, sure): signed hashes of the terms whose counts tell the labels apart best, and of the most frequent ones."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         both: Counter = Counter()
@@ -164,16 +170,23 @@ def choose_terms(rows: DataFrame, most: int = TERMS) -> DataFrame:
 
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("toxic").alias("p"))
     found = rows.mapInPandas(count, "term long, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    # one row on the other side
     found = found.where(F.col("n") >= SUPPORT).crossJoin(F.broadcast(n.select(F.col("n").alias("all"), F.col("p").alias("pos"))))
-    there, away = (F.col("p") + 0.5) / (F.col("pos") + 1), (F.col("n") - F.col("p") + 0.5) / (F.col("all") - F.col("pos") + 1)
-    spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") - F.col("p") + 0.5))
-    found = found.withColumn("z", F.abs(F.log(there / away)) / spread).where(F.col("z") >= SURE)
-    return leading(written(found.select("term", "z"), "terms"), "z", most).orderBy(F.desc("z"), "term").limit(most).select("term")
+    cell = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * F.col("all") / (row * column))).otherwise(0.0)
+    with_, without = F.col("n"), F.col("all") - F.col("n")
+    toxic, clean = F.col("pos"), F.col("all") - F.col("pos")
+    told = cell(F.col("p"), with_, toxic) + cell(with_ - F.col("p"), with_, clean) + cell(toxic - F.col("p"), without, toxic) + cell(clean - with_ + F.col("p"), without, clean)
+    found = written(found.select("term", "n", F.sqrt(2 * F.greatest(told, F.lit(0.0))).alias("z")), "terms", result=True)
+    often = min(FREQUENT, most // 2)
+    best = leading(found.where(F.col("z") >= SURE), "z", most - often).orderBy(F.desc("z"), "term").limit(most - often).select("term", F.lit(True).alias("sure"))
+    common = leading(found, "n", often).orderBy(F.desc("n"), "term").limit(often).select("term", F.lit(False).alias("sure"))
+    return best.union(common).groupBy("term").agg(F.max("sure").alias("sure"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     rows, per_positive, per_negative = sample(docs, labels)
-    chosen = sorted(r["term"] % 2**64 for r in choose_terms(rows).collect())
+    picked = sorted((r["term"] % 2**64, r["sure"]) for r in choose_terms(rows).collect())
+    chosen, sure = [t for t, _ in picked], np.array([x for _, x in picked] + [True] * LENGTHS)
     known = {t: i for i, t in enumerate(chosen)}
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     term = np.concatenate([r["term"] for r in got]).astype(np.int64)
     value = np.concatenate([r["value"] for r in got])
     start = np.cumsum([0, *(len(r["term"]) for r in got[:-1])])
-    return fit((start, term, value), label, np.where(label > 0, per_positive, per_negative), held)
+    return fit((start, term, value), label, np.where(label > 0, per_positive, per_negative), held, sure)
 
 
 def scored(docs: DataFrame, machine: Machine, to: str = "score") -> DataFrame:
@@ -212,7 +225,7 @@ def scored(docs: DataFrame, machine: Machine, to: str = "score") -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is below the threshold, learnt from the labels of those rows."""
     to = fresh("score", docs)
-    return scored(docs, learn(docs, labels), to).where(F.col(to) < threshold).select(*docs.columns)
+    return scored(docs, learn(docs, labels), to).where(F.col(to) < threshold).select(*own_columns(docs))
 
 
 def op3_toxicity_fm(spark, sf_dir):
