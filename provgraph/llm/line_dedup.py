@@ -9,8 +9,8 @@ change at most 2 * TAU bits, then by that of its pairs of letters; keys with mor
 which must agree. The edit distance is then verified by a band of 2 * TAU + 1 bits for each number of
 errors, advanced letter by letter.
 
-A line is known by a 128-bit digest; a copy is not compared again. Lines shorter than LEAST code points
-match exact copies only. Classes are connected components; a class keeps its first line in the order
+A line is known by a 128-bit digest; a copy is not compared again. Lines of TAU code points or fewer, which
+edits could replace whole, are near nothing and match exact copies only. Classes are connected components; a class keeps its first line in the order
 of doc_id (nulls last) and line number.
 
 Defined results: a null text has no lines, an empty text one empty line; repeated rows are copies;
@@ -24,9 +24,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, fresh, sized, table, written
+from .common import components, fresh, own_columns, scope, sized, table, written
 
-TAU, LEAST = 2, 24
+TAU, LEAST = 2, 3
 #: Rows of a key up to which its pairs are formed directly.
 HOT = 64
 OWN, PROBE = 1, 2
@@ -154,10 +154,11 @@ def near_links(lines: DataFrame, tau: int = TAU, least: int = LEAST) -> tuple[Da
 def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """One row for each distinct line: h1, h2, line_md5, its first place, its copies, its class' first place and size, its links, kept."""
     lines = lines_of(docs)
-    nodes, links = near_links(lines, tau, least)
-    roots = components(docs.sparkSession, links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    linked = written(nodes.join(roots, "node").join(counts, "node").select("h1", "h2", "root", "n_links"), "linked")
+    with scope(docs.sparkSession):
+        nodes, links = near_links(lines, tau, least)
+        roots = components(docs.sparkSession, links)
+        counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        linked = written(nodes.join(roots, "node").join(counts, "node").select("h1", "h2", "root", "n_links"), "linked", result=True)
 
     place = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").cast("long").alias("doc_id"), "line_no")
     distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"), F.max(F.md5("line")).alias("line_md5"))
@@ -171,7 +172,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFra
 
 
 def drop_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """docs with only the lines that are the first of their class; lines shorter than least stay everywhere."""
+    """docs with only the lines that are the first of their class; lines shorter than least, as empty ones, stay everywhere."""
     uid, kept_text = fresh("uid", docs), fresh("kept_text", docs)
     rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
     kept = line_classes(rows, tau, least).where("kept").select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
@@ -179,7 +180,7 @@ def drop_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame
     own = lines.join(kept, ["h1", "h2"], "left").where((F.char_length("line") < least) | (F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))))
     texts = own.groupBy(uid).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias(kept_text))
     out = rows.join(texts, uid, "left")
-    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce(kept_text, F.lit("")))).select(*docs.columns)
+    return out.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce(kept_text, F.lit("")))).select(*own_columns(docs))
 
 
 def op10_edit_join_lines(spark, sf_dir):

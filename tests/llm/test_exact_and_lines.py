@@ -65,7 +65,8 @@ def variants(seed, n=120):
             p = r.randrange(len(x))
             x[p : p + r.randint(0, 1)] = r.choice([[], [r.choice(letters)]])
         out.append("".join(x))
-    return [*out, "short", "shorr", ""]
+    short = ["".join(r.choice("ab ") for _ in range(r.randint(0, 9))) for _ in range(40)]
+    return [*out, *short, "short", "shorr", ""]
 
 
 @pytest.mark.parametrize("hot", [64, 2])
@@ -76,7 +77,7 @@ def test_line_links_equal_brute_force(frame, monkeypatch, hot):
     want = {}
     distinct = sorted({x for _, t in docs if t is not None for x in t.split("\n")})
     for a in distinct:
-        near = [b for b in distinct if b != a and min(len(a), len(b)) >= 24 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+        near = [b for b in distinct if b != a and min(len(a), len(b)) >= 3 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
         want[hashlib.md5(a.encode()).hexdigest()] = (sum(t.split("\n").count(a) for _, t in docs if t is not None), len(near))
     got = line_dedup.line_classes(frame(docs)).collect()
     assert {r.line_md5: (r.copies, r.n_links) for r in got} == want
@@ -88,3 +89,12 @@ def test_drop_lines(frame):
     docs = frame([(1, f"{a}\nkeep me, for I am a longer line"), (2, f"{b}\nx\n{a}"), (3, None)])
     out = {r.doc_id: r.text for r in line_dedup.drop_lines(docs).collect()}
     assert out == {1: f"{a}\nkeep me, for I am a longer line", 2: "x", 3: None}
+
+
+def test_very_long_line_and_clashing_columns(frame):
+    long = "lorem ipsum " * 20_000
+    docs = frame([(1, long + "a"), (2, long + "b"), (3, "x" * 2_000)])
+    got = {r.doc_id: r for r in line_dedup.line_classes(docs.withColumns({"h1": F.lit(1), "line": F.lit("z"), "node.a": F.lit(0)})).collect()}
+    assert [got[d].n_links for d in (1, 2, 3)] == [1, 1, 0] and got[2].class_doc_id == 1 and not got[2].kept
+    out = line_dedup.drop_lines(docs.withColumn("a.b", F.lit(1)))
+    assert out.columns == [*docs.columns, "a.b"] and {r.doc_id: r.text for r in out.collect()}[2] == ""
