@@ -3,12 +3,15 @@
 Equal windows of LENGTH bytes select the same anchor: the smallest hash among the K-byte strings in
 them. Consecutive windows with one anchor form a segment, so all places where a window occurs are
 segments in one anchor's bucket, and buckets of one row need no further look. In a bucket, segments of
-equal content form a class, whose windows all repeat if it has two places. Segments that match only
-in part meet in tasks: their windows are the suffixes, sorted into a sparse suffix array; the lengths
-shared with the previous and the next smaller position in that order give the longest previous factor,
-and the neighbours' shared lengths say whether a window occurs elsewhere at all. Buckets of more than
-HOT classes, as at the edge of a passage that very many documents hold, compare digests of windows
-in an aggregation instead, so that no task ever gathers a bucket whose size grows with the input.
+equal content form a class, which an aggregate proves: the smallest and the largest of the bytes under
+one hash are the same, or the hash is split by its bytes. All windows of a class of two places repeat.
+Of each class one place goes on: segments that match only in part meet in tasks, where their windows
+are the suffixes, sorted by their bytes into a sparse suffix array; next smaller positions on both
+sides of that order give the longest previous factors, and, of the mirrored positions, the longest next
+ones. A window repeats if one of its factors is as long as itself. Buckets of more than HOT classes, as
+at the edge of a passage that very many documents hold, are grouped by windows instead: a count of
+digests leaves the few that may repeat, which are then grouped by their bytes, so that no task ever
+gathers a bucket whose size grows with the input and bytes decide at every size.
 
 keep="none" removes every place of a repeated window, keep="first" all places but the first, in the
 order of doc_id (nulls last), then of the text's digest, then of the position.
@@ -29,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import fresh, own_columns, scope, sized, table, written
 
 LENGTH, K = 200, 64
 #: Classes of a bucket up to which it is handled whole in one task (of at most 2 * LENGTH bytes each), classes dealt to a task.
@@ -84,21 +88,22 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[n
     return text[first], lo, hi, h[at[first]].view(np.int64), mix((sums[hi + length] - sums[lo]) * down[lo]).view(np.int64)
 
 
-def text_slices(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first text, end text, first byte, end byte); a text above SLICE bytes comes in parts that share length - 1 bytes."""
+def text_slices(offsets: np.ndarray, length: int, most: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, end text, first byte, end byte); a text above most bytes comes in parts that share length - 1 bytes."""
     i, n = 0, len(offsets) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
-        if j == i + 1 and offsets[j] - offsets[i] > SLICE:
-            for a in range(int(offsets[i]), int(offsets[j]) - length + 1, SLICE):
-                yield i, j, a, min(int(offsets[j]), a + SLICE + length - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        if j == i + 1 and offsets[j] - offsets[i] > most:
+            for a in range(int(offsets[i]), int(offsets[j]) - length + 1, most):
+                yield i, j, a, min(int(offsets[j]), a + most + length - 1)
         else:
             yield i, j, int(offsets[i]), int(offsets[j])
         i = j
 
 
-def segment_table(keyed: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """keyed (tk, d, bytes) to one row for each segment, positions counted from the text's start."""
+def segment_table(keyed: DataFrame, length: int = LENGTH, k: int = K, bits: int = 64) -> DataFrame:
+    """keyed (tk, d, bytes) to one row for each segment, positions counted from the text's start; bits: of the content's hash."""
+    most, mask = SLICE, np.int64(-1 if bits == 64 else (1 << bits) - 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +111,11 @@ def segment_table(keyed: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
             offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
             block = column.buffers()[2]
             data = np.frombuffer(block, dtype=np.uint8) if block is not None else np.zeros(0, dtype=np.uint8)
-            for i, j, a, b in text_slices(offsets, length):
+            for i, j, a, b in text_slices(offsets, length, most):
                 text, lo, hi, anchor, content = segments(data[a:b], np.minimum(offsets[i + 1 : j + 1], b) - a, length, k)
                 start = np.maximum(offsets[i:j], a)[text] - a - np.maximum(0, a - offsets[i:j])[text]
                 whole = pa.array(text + i)
-                columns = [batch.column("tk").take(whole), batch.column("d").take(whole), *(pa.array(x) for x in (lo - start, hi - start, anchor, content))]
+                columns = [batch.column("tk").take(whole), batch.column("d").take(whole), *(pa.array(x) for x in (lo - start, hi - start, anchor, content & mask))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in SEGMENTS.split(", ")])
 
     return keyed.mapInArrow(work, SEGMENTS)
@@ -170,12 +175,10 @@ def match_group(rows: pd.DataFrame, length: int, first_stays: bool) -> pd.DataFr
         return pd.DataFrame({"tk": [], "start": [], "end": []})
     windows = np.lib.stride_tricks.sliding_window_view(data, length)[start[twin]]
     order, shared = suffix_array(windows)
-    if first_stays:
-        repeats = previous_factors(order, shared) >= length
-    else:
-        repeats = np.zeros(len(order), dtype=bool)
-        repeats[order] = (shared >= length) | (np.append(shared[1:], 0) >= length)
-    found = twin[repeats]
+    factor = previous_factors(order, shared)
+    if not first_stays:  # an occurrence behind counts as well: the factors of the positions in reverse
+        factor = np.maximum(factor, previous_factors(len(order) - 1 - order, shared)[::-1])
+    found = twin[factor >= length]
     if not len(found):
         return pd.DataFrame({"tk": [], "start": [], "end": []})
     # places of one segment are consecutive; a gap between segments keeps their runs apart
@@ -191,55 +194,95 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.unhex(F.md5(text)).alias("tk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text.cast("binary").alias("bytes"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str = "none") -> DataFrame:
-    """(tk, start, end): bytes of the text with MD5 digest tk that repeat elsewhere in it or in other texts; spans may overlap."""
+PLACE = ["anchor", "content"]
+
+
+def with_bytes(hits: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """hits with the bytes of their windows."""
+    part = F.substring("bytes", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int") + length)
+    return hits.join(texts, "tk").select(*PLACE, "tk", "d", "lo", part.alias("bytes"))
+
+
+def classes_of(hits: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """(anchor, content, places, first, bytes, alike): segments of one hash; alike: whether their bytes are the same."""
+    grouped = with_bytes(hits, texts, length).groupBy(*PLACE)
+    found = grouped.agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("d", "tk", "lo")).alias("first"), F.min("bytes").alias("bytes"), F.max("bytes").alias("last"))
+    return written(found.select(*PLACE, "places", "first", "bytes", (F.col("bytes") == F.col("last")).alias("alike")), "classes")
+
+
+def told_apart(hits: DataFrame, texts: DataFrame, clash: DataFrame, length: int, turn: int) -> DataFrame:
+    """hits with new hashes for segments that share one although their bytes differ."""
+    clash = clash.select(*PLACE)
+    rows = written(with_bytes(hits.join(clash, PLACE, "left_semi"), texts, length), "clashes")
+    rank = F.row_number().over(Window.partitionBy(*PLACE).orderBy("bytes"))
+    named = rows.select(*PLACE, "bytes").distinct().withColumn("to", F.xxhash64("content", rank, F.lit(turn)))
+    new = rows.join(named, [*PLACE, "bytes"]).select(*PLACE, "tk", "lo", "to")
+    out = hits.join(new, [*PLACE, "tk", "lo"], "left").withColumn("content", F.coalesce("to", "content")).drop("to")
+    return written(out, "hits")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str = "none", bits: int = 64) -> DataFrame:
+    """(tk, start, end): bytes of the text with MD5 digest tk that repeat elsewhere in it or in other texts; spans don't overlap."""
     first_stays = keep == "first"
     keyed = keyed_texts(docs)
-    cut = segment_table(keyed.where(F.octet_length("bytes") >= length), length, k)
+    cut = segment_table(keyed.where(F.octet_length("bytes") >= length), length, k, bits)
     # buckets of several places; copies of one text make these too, and are told apart below
     full = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("anchor").alias("key"))
     # joined by a hash of the anchor, so that the aggregation below deals its rows anew and a hot anchor's can be split here
-    hits = cut.withColumn("key", F.xxhash64("anchor")).join(full, "key").groupBy("anchor", "content", "tk", "lo").agg(F.min("d").alias("d"), F.min("hi").alias("hi"))
-    hits = written(hits, "hits")
-    first = F.min(F.struct("d", "tk", "lo"))
-    classes = hits.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("places"), first.alias("first"))
-    classes = written(classes, "classes")
-    buckets = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "buckets")
-
-    many = hits.join(classes.where("places > 1"), ["anchor", "content"])
-    if first_stays:
-        many = many.where(~((F.col("tk") == F.col("first.tk")) & (F.col("lo") == F.col("first.lo"))))
-    spans = many.select("tk", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
-
-    # classes that may match in part: one place of each, with its bytes
-    part = classes.join(buckets, "anchor").select("anchor", "content", "classes", (F.col("places") > 1).alias("many"), "first.*")
-    part = part.join(hits.select("anchor", "content", "tk", "lo", "hi"), ["anchor", "content", "tk", "lo"])
-    texts = keyed.select("tk", "bytes").dropDuplicates(["tk"])
-    bytes_ = F.substring("bytes", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int") + length)
-    cuts = written(part.join(texts, "tk").select("anchor", "classes", "tk", "d", "lo", "many", bytes_.alias("bytes")), "cuts")
-    cold = cuts.where(F.col("classes") <= HOT).drop("classes")
-    groups = max(1, -(-cold.count() // DEALT))
-    group = F.pmod(F.xxhash64("anchor"), F.lit(groups))
-    matched = cold.withColumn("g", group).groupBy("g").applyInPandas(lambda rows: match_group(rows, length, first_stays), "tk binary, start long, end long")
-    hot = hot_spans(cuts.where(F.col("classes") > HOT), length, first_stays)
-    return written(spans.unionByName(matched).unionByName(hot), "spans")
+    hits = cut.withColumn("key", F.xxhash64("anchor")).join(full, "key").groupBy(*PLACE, "tk", "lo").agg(F.min("d").alias("d"), F.min("hi").alias("hi"))
+    with scope(docs.sparkSession):
+        hits = written(hits, "hits")
+        texts = keyed.join(hits.select("tk").distinct(), "tk", "left_semi").select("tk", "bytes").dropDuplicates(["tk"])
+        classes, turn = classes_of(hits, texts, length), 0
+        while not (clash := classes.where("not alike")).isEmpty():
+            turn += 1
+            hits = told_apart(hits, texts, clash, length, turn)
+            classes = classes_of(hits, texts, length)
+        buckets = written(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"), "buckets")
+
+        many = hits.join(classes.where("places > 1").select(*PLACE, "first"), PLACE)
+        if first_stays:
+            many = many.where(~((F.col("tk") == F.col("first.tk")) & (F.col("lo") == F.col("first.lo"))))
+        spans = many.select("tk", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
+
+        # classes that may match in part: one place of each, with its bytes
+        cuts = written(classes.join(buckets, "anchor").select("anchor", "classes", "first.*", (F.col("places") > 1).alias("many"), "bytes"), "cuts")
+        cold = cuts.where(F.col("classes") <= HOT).drop("classes")
+        groups = max(1, -(-cold.count() // DEALT))
+        group = F.pmod(F.xxhash64("anchor"), F.lit(groups))
+        matched = cold.withColumn("g", group).groupBy("g").applyInPandas(lambda rows: match_group(rows, length, first_stays), "tk binary, start long, end long")
+        hot = hot_spans(cuts.where(F.col("classes") > HOT), length, first_stays)
+        return written(merged_spans(spans.unionByName(matched).unionByName(hot)), "spans", result=True)
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """Maximal runs of covered bytes."""
+    order = Window.partitionBy("tk").orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))
+    return begins.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("tk", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def hot_spans(cuts: DataFrame, length: int, first_stays: bool) -> DataFrame:
-    """As match_group, for buckets of any size: equal 128-bit digests of windows, counted where they arise first."""
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                out = []
-                for tk, d, lo, b in batch.iloc[at : at + 500][["tk", "d", "lo", "bytes"]].itertuples(index=False):
-                    out += [(xxhash.xxh3_128_digest(b[i : i + length]), tk, d, lo + i) for i in range(len(b) - length + 1)]
-                yield pd.DataFrame(out, columns=["w", "tk", "d", "p"])
-
-    rows = cuts.select("tk", "d", "lo", "bytes").mapInPandas(windows, "w binary, tk binary, d long, p long")
-    rows = written(rows, "windows")
-    seen = rows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "tk", "p")).alias("first")).where("n > 1")
-    rows = rows.join(written(seen, "seen"), "w")
+    """As match_group, for buckets of any size: windows whose digests repeat, then grouped by their bytes."""
+
+    def windows(whole: bool):
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), 500):
+                    out = []
+                    for tk, d, lo, b in batch.iloc[at : at + 500][["tk", "d", "lo", "bytes"]].itertuples(index=False):
+                        for i in range(len(b) - length + 1):
+                            part = b[i : i + length]
+                            out.append((xxhash.xxh3_64_intdigest(part) - 2**63, *((tk, d, lo + i, part) if whole else ())))
+                    yield pd.DataFrame(out, columns=["w", "tk", "d", "p", "bytes"] if whole else ["w"])
+
+        return cuts.select("tk", "d", "lo", "bytes").mapInPandas(work, "w long, tk binary, d long, p long, bytes binary" if whole else "w long")
+
+    digests = written(windows(False).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"), "digests")
+    rows = written(windows(True).join(sized(digests), "w"), "windows")
+    seen = rows.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "tk", "p")).alias("first")).where("n > 1")
+    rows = rows.join(written(seen, "seen"), "bytes")
     if first_stays:
         rows = rows.where(~((F.col("tk") == F.col("first.tk")) & (F.col("p") == F.col("first.p"))))
     return rows.select("tk", F.col("p").alias("start"), (F.col("p") + length).alias("end"))
@@ -248,19 +291,6 @@ def hot_spans(cuts: DataFrame, length: int, first_stays: bool) -> DataFrame:
 CUT = StructType([StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", BinaryType())])
 
 
-def merged(spans, whole: bool, size: int) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
-    if whole:
-        return [(0, size)]
-    out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans) if spans is not None else ():
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
-
-
 def between_letters(b: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The runs, each narrowed so that it starts and ends between UTF-8 letters."""
     out = []
@@ -274,38 +304,47 @@ def between_letters(b: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, in
     return out
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str = "none", letters: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str = "none", letters: bool = False, bits: int = 64) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept, the bytes that stay, in place of columns of these names; letters: no letter is cut in two."""
-    spans = repeated_spans(docs, length, k, keep)
-    by_text = spans.groupBy("tk").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.md5(text)).alias("tk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text.cast("binary").alias("bytes"))
-    copies = docs.select(F.unhex(F.md5(text)).alias("tk"), F.octet_length(text).alias("n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"))
-    copies = copies.where(F.col("n") >= length).groupBy("tk").agg(F.count(F.lit(1)).alias("copies"), F.min("d").alias("first")).where("copies > 1")
-    facts = written(by_text.join(copies, "tk", "full_outer"), "facts")
+    spans = repeated_spans(docs, length, k, keep, bits)
+    by_text = spans.groupBy("tk").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    key, at = fresh("tk", docs), fresh("d", docs)
+    copies = keyed_texts(docs).select("tk", F.octet_length("bytes").alias("n"), "d").where(F.col("n") >= length)
+    copies = copies.groupBy("tk").agg(F.count(F.lit(1)).alias("copies"), F.min("d").alias("first")).where("copies > 1")
+    facts = written(by_text.join(copies, "tk", "full_outer").select(F.col("tk").alias(key), F.struct("spans", "copies", "first").alias("found")), "facts", result=True)
 
     @F.pandas_udf(CUT)
     def cut(bytes_: pd.Series, spans: pd.Series, whole: pd.Series) -> pd.DataFrame:
         out = []
         for b, s, w in zip(bytes_, spans, whole, strict=True):
-            gone = between_letters(b, merged(s, w, len(b))) if letters else merged(s, w, len(b))
+            gone = [(0, len(b))] if w else [(x["start"], x["end"]) for x in s] if s is not None else []
+            if letters:
+                gone = between_letters(b, gone)
             edges = [0, *(x for pair in gone for x in pair), len(b)]
             out.append((sum(y - x for x, y in gone), len(gone), b"".join(b[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True))))
         return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept"])
 
-    gone = F.col("copies") > 1
+    # only what docs holds is shuffled, a text once
+    found, done = fresh("found", docs), fresh("cut", docs)
+    rows = docs.select(*own_columns(docs), F.unhex(F.md5(text)).alias(key), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias(at))
+    rows = rows.join(facts.withColumnRenamed("found", found), key, "left")
+    gone = F.col(f"{found}.copies") > 1
     if keep == "first":
-        gone = gone & (F.col("d") > F.col("first"))
-    out = rows.join(facts, "tk", "left").withColumn("cut", cut("bytes", "spans", F.coalesce(gone, F.lit(False))))
-    results = {"n_bytes": F.octet_length("bytes").cast("long"), **{c: F.col(f"cut.{c}") for c in ("n_removed", "n_spans", "kept")}}
-    return out.select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in results), *(x.alias(c) for c, x in results.items()))
+        gone = gone & (F.col(at) > F.col(f"{found}.first"))
+    out = rows.withColumn(done, cut(text.cast("binary"), F.col(f"{found}.spans"), F.coalesce(gone, F.lit(False))))
+    results = {"n_bytes": F.octet_length(text).cast("long"), **{c: F.col(f"{done}.{c}") for c in ("n_removed", "n_spans", "kept")}}
+    stay = [c for c, name in zip(own_columns(docs), docs.columns, strict=True) if name.lower() not in results]
+    return out.select(*stay, *(x.alias(c) for c, x in results.items()))
 
 
 def keep_first(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the later copies of repeated passages cut from text; the columns stay the same."""
-    out = without_repeats(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), length, keep="first", letters=True)
-    text = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
-    return out.withColumn("text", text).select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    names = [fresh(f"c{i}_", docs) for i in range(len(docs.columns))]
+    plain = docs.select(*(c.alias("text" if o == "text" else "doc_id" if o == "doc_id" else n) for c, o, n in zip(own_columns(docs), docs.columns, names, strict=True)))
+    out = without_repeats(plain, length, keep="first", letters=True)
+    cut = F.when(F.col("text").isNotNull(), F.col("kept").cast("string")).cast(docs.schema["text"].dataType)
+    return out.select(*((cut if o == "text" else F.col("doc_id" if o == "doc_id" else n)).alias(o) for o, n in zip(docs.columns, names, strict=True)))
 
 
 def op7_lpf_dedup(spark, sf_dir):

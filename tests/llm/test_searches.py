@@ -39,11 +39,12 @@ def brute_repeats(docs, length, keep):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("hot", [16_384, 3])
-def test_repeats_equal_brute_force(frame, monkeypatch, keep, hot):
+@pytest.mark.parametrize(("hot", "bits"), [(16_384, 64), (3, 64), (16_384, 1)])
+def test_repeats_equal_brute_force(frame, monkeypatch, keep, hot, bits):
+    """Also with buckets taken for large, and with content hashes that clash everywhere: bytes decide."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     docs = passages()
-    got = suffix_dedup.without_repeats(frame(docs), keep=keep).collect()
+    got = suffix_dedup.without_repeats(frame(docs), keep=keep, bits=bits).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=str) == brute_repeats(docs, 200, keep)
 
 
@@ -135,3 +136,16 @@ def test_top_k_equals_brute_force(spark, monkeypatch, blocks):
             want.update((q, n + 1, i, -s) for n, (s, i) in enumerate(best))
     assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
     assert topk_search.search(able.limit(0), able).count() == 0
+
+
+def test_lists_are_read_in_part():
+    """Vectors with a few heavy dimensions: the bounds end the reading early; the result is that of all entries."""
+    rng = np.random.default_rng(3)
+    x = np.floor(rng.standard_normal((2000, 16)) * 64 * 0.5 ** np.arange(16)).astype(np.int64)
+    ids, q = np.arange(2000), x[:2000:20]
+    lists = topk_search.Lists(x)
+    found = lists.nearest(ids, q, ids[::20], 5)
+    assert lists.read < 0.5 * q.size * len(x)
+    for i, row in enumerate(found):
+        best = sorted((-int(s), j) for j, s in enumerate(x @ q[i]) if j != 20 * i)[:5]
+        assert {j for _, j in best} <= set(row.tolist())
