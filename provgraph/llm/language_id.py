@@ -17,24 +17,27 @@ is `und`; lang, source and other columns are never read when scoring; an empty t
 from __future__ import annotations
 
 import functools
-import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vocab
-from .common import table, written
+from .common import scope, table, written
 
 TRAIN_DOCS, TRAIN_WORDS, ROUNDS = 8000, 12_000, 4
 #: Added to every piece's expected count, and the probability of a character that no piece covers.
 PRIOR, UNKNOWN = 0.01, 1e-7
 LONGEST, MEMO, PART = 16, 300_000, 40
 
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters with the marks that combine with them.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 MARK = "▁"
 
 
@@ -49,10 +52,27 @@ def pieces(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(kept)}
 
 
+class Trie:
+    """The pieces' beginnings as numbered nodes: sorted keys (node, letter) with the nodes they lead to, and a node's piece or -1."""
+
+    def __init__(self, known: dict[str, int]):
+        begun = {s: i for i, s in enumerate(sorted({p[:n] for p in known for n in range(len(p) + 1)}), 0)}
+        steps = np.array(sorted((begun[s[:-1]] << 21 | ord(s[-1]), i) for s, i in begun.items() if s), dtype=np.int64).reshape(-1, 2)
+        self.keys, self.nodes = steps[:, 0].copy(), steps[:, 1].copy()
+        self.piece = np.array([known.get(s, -1) for s in begun], dtype=np.int64)
+        self.size = len(known)
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes go on with the letter, and where to."""
+        key = node << 21 | letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        ok = self.keys[at] == key
+        return ok, self.nodes[at[ok]]
+
+
 @functools.cache
-def beginnings(path: str) -> frozenset[str]:
-    """Every string that some piece begins with."""
-    return frozenset(p[:n] for p in pieces(path) for n in range(1, len(p) + 1))
+def trie(path: str) -> Trie:
+    return Trie(pieces(path))
 
 
 def words(text: str) -> list[str]:
@@ -66,34 +86,31 @@ class Lattice:
     algorithm is one array operation over all words.
     """
 
-    def __init__(self, found: list[str], known: dict[str, int], begun: frozenset[str] | None = None):
-        start, end, piece, word = [], [], [], []
-        unknown = len(known)
+    def __init__(self, found: list[str], known: Trie):
+        letters = np.frombuffer("".join(MARK + w for w in found).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         self.lengths = np.array([len(w) + 1 for w in found], dtype=np.int64)
         base = np.cumsum(self.lengths + 1) - (self.lengths + 1)
-        for i, w in enumerate(found):
-            w, at = MARK + w, int(base[i])
-            for b in range(len(w)):
-                covered = False
-                for e in range(b + 1, min(len(w), b + LONGEST) + 1):
-                    part = w[b:e]
-                    if begun is not None and part not in begun:
-                        break
-                    p = known.get(part)
-                    if p is not None:
-                        start.append(at + b)
-                        end.append(at + e)
-                        piece.append(p)
-                        covered |= e == b + 1
-                if not covered:
-                    start.append(at + b)
-                    end.append(at + b + 1)
-                    piece.append(unknown)
         self.nodes, self.first, self.last = int((self.lengths + 1).sum()), base, base + self.lengths
         level = np.arange(self.nodes) - np.repeat(base, self.lengths + 1)
-        self.start, self.end, self.piece = (np.array(x, dtype=np.int64) for x in (start, end, piece))
-        self.by_end = self._levels(level[self.end] if len(end) else self.end, self.end)
-        self.by_start = self._levels(-level[self.start] if len(start) else self.start, self.start)
+        word = np.repeat(np.arange(len(found)), self.lengths)
+        left = np.repeat(np.cumsum(self.lengths), self.lengths) - np.arange(len(letters))  # letters from here to the word's end
+        # every position walks down the trie, all together, a letter at a time
+        at, node, edges = np.arange(len(letters)), np.zeros(len(letters), dtype=np.int64), []
+        for n in range(1, LONGEST + 1):
+            more = left[at] >= n
+            at, node = at[more], node[more]
+            ok, node = known.step(node, letters[at + n - 1])
+            at = at[ok]
+            piece = known.piece[node]
+            whole = piece >= 0
+            edges.append((at[whole], np.full(int(whole.sum()), n), piece[whole]))
+            if n == 1:
+                bare = np.setdiff1d(np.arange(len(letters)), edges[0][0], assume_unique=True)
+                edges.append((bare, np.ones(len(bare), dtype=np.int64), np.full(len(bare), known.size)))
+        start, step, self.piece = (np.concatenate(x) for x in zip(*edges, strict=True))
+        self.start = start + word[start]
+        self.end = self.start + step
+        self.level = level
 
     @staticmethod
     def _levels(level, node):
@@ -104,6 +121,14 @@ class Lattice:
     def forward(self, logp: np.ndarray) -> np.ndarray:
         return self._pass(logp, self.by_end, self.start, self.end, self.first)
 
+    @functools.cached_property
+    def by_end(self):
+        return self._levels(self.level[self.end], self.end)
+
+    @functools.cached_property
+    def by_start(self):
+        return self._levels(-self.level[self.start], self.start)
+
     def backward(self, logp: np.ndarray) -> np.ndarray:
         return self._pass(logp, self.by_start, self.end, self.start, self.last)
 
@@ -128,8 +153,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def train_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) of the sample, at most TRAIN_WORDS words a language."""
-    from pyspark.sql.window import Window
-
     able = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     able = able.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     # a row for each language: small
@@ -149,19 +172,25 @@ def train_counts(docs: DataFrame) -> DataFrame:
         yield pd.DataFrame([(*k, n) for k, n in parts.items()], columns=["lang", "word", "n"])
 
     rows = able.join(share, "lang").where(draw < F.col("share")).select("lang", "text")
-    found = rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = written(rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "counts")
+    # a histogram of counts for each language sets a bar, behind which little more than the words wanted is left to sort
+    step = F.floor(F.log2("n") * 16)
+    steps = found.groupBy("lang", step.alias("step")).agg(F.count(F.lit(1)).alias("m"))
+    above = steps.withColumn("above", F.sum("m").over(Window.partitionBy("lang").orderBy(F.desc("step")))).where(F.col("above") - F.col("m") < TRAIN_WORDS)
+    bar = F.broadcast(above.groupBy("lang").agg(F.min("step").alias("bar")))
     best = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    return written(found.withColumn("r", best).where(F.col("r") <= TRAIN_WORDS).drop("r"), "words")
+    return written(found.join(bar, "lang").where(step >= F.col("bar")).withColumn("r", best).where(F.col("r") <= TRAIN_WORDS).drop("r", "bar"), "words", result=True)
 
 
 def learn(docs: DataFrame, path: str = vocab.PIECES) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities (pieces + 1, languages), the last row an uncovered character's."""
-    counts = sorted(map(tuple, train_counts(docs).collect()))
+    with scope(docs.sparkSession):
+        counts = sorted(map(tuple, train_counts(docs).collect()))
     langs, known = sorted({x[0] for x in counts}), pieces(path)
     logp = np.full((len(known) + 1, len(langs)), -np.log(len(known)))
     for j, lang in enumerate(langs):
         own = [(w, n) for x, w, n in counts if x == lang]
-        lattice, n = Lattice([w for w, _ in own], known), np.array([n for _, n in own], dtype=float)
+        lattice, n = Lattice([w for w, _ in own], trie(path)), np.array([n for _, n in own], dtype=float)
         logp[-1, j] = np.log(UNKNOWN)
         weight = np.repeat(n, lattice.lengths + 1)
         total = np.repeat(lattice.last, lattice.lengths + 1)
@@ -178,7 +207,7 @@ class Model:
     """Predicts languages in a task; a word's log probabilities are a row of a table that the memo points into."""
 
     def __init__(self, langs: list[str], logp: np.ndarray, path: str):
-        self.langs, self.logp, self.known, self.begun = langs, logp, pieces(path), beginnings(path)
+        self.langs, self.logp, self.trie = langs, logp, trie(path)
         self.memo: dict[str, int] = {}
         self.table, self.used = np.zeros((1024, max(1, len(langs)))), 0
 
@@ -188,7 +217,7 @@ class Model:
             end, n = at, 0
             while end < len(new) and (n < chars or end == at):
                 n, end = n + len(new[end]), end + 1
-            rows = Lattice(new[at:end], self.known, self.begun).word_logp(self.logp)
+            rows = Lattice(new[at:end], self.trie).word_logp(self.logp)
             while self.used + len(rows) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[self.used : self.used + len(rows)] = rows
@@ -222,12 +251,23 @@ class Model:
         return names, scores
 
 
+#: The model of the last query that this Python worker took part in; the tasks of one query share its memo.
+_LAST: dict[str, Model] = {}
+
+
+def model_of(key: str, langs: list[str], logp: np.ndarray, path: str) -> Model:
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Model(langs, logp, path)
+    return _LAST[key]
+
+
 def predicted(docs: DataFrame, langs: list[str], logp: np.ndarray, path: str = vocab.PIECES) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text."""
-    model = docs.sparkSession.sparkContext.broadcast((langs, logp))
+    model, key = docs.sparkSession.sparkContext.broadcast((langs, logp)), uuid.uuid4().hex
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*model.value, path)
+        own = model_of(key, *model.value, path)
         for batch in batches:
             names, scores = [], []
             for at in range(0, len(batch), 200):

@@ -104,7 +104,7 @@ def test_forward_sums_all_segmentations():
         return np.log(total)
 
     words = ["the", "maison", "ßüq", "日x", "a"]
-    assert np.allclose(language_id.Lattice(words, known).word_logp(logp), [brute(w) for w in words])
+    assert np.allclose(language_id.Lattice(words, language_id.trie(vocab.PIECES)).word_logp(logp), [brute(w) for w in words])
 
 
 def test_language_held_out(frame, edges):
@@ -115,6 +115,9 @@ def test_language_held_out(frame, edges):
     out = {r.doc_id: r for r in language_id.predicted(every, *language_id.learn(every)).collect()}
     assert all(out[i].lang_pred == g for i, _, g in docs)
     assert out[1001].lang_pred == "und" and out[1002].lang_pred == "und" and out[1004].score == 0.0
+    signs = frame([(1, "½ ²³ Ⅷ 12 _", None), (2, "½ka", None)])
+    assert [x.lang_pred for x in language_id.predicted(signs, *language_id.learn(every)).orderBy("doc_id").collect()] == ["und", "aa"]
+    assert language_id.words("Ça e\u0301te x2y ½") == ["ça", "e\u0301te", "x", "y"]
     nothing = frame([(1, "abc", None)])
     assert [r.lang_pred for r in language_id.predicted(nothing, *language_id.learn(nothing)).collect()] == ["und"]
 
