@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, components, fresh, leading, sized, table, written
+from .common import arrow_rows, components, fresh, leading, own_columns, scope, sized, table, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -41,6 +41,10 @@ BANDS, ROWS = 20, 5
 SMALL = 16
 #: Nodes of a large bucket that are put in order together.
 STRETCH = 256
+#: Nodes of an element that meet in one task.
+DEALT = 4096
+#: Rounds of comparisons of neighbours before all pairs, elements of a node that are known to each of its rows.
+FOLDS, LEADERS = 2, 16
 #: Multisets up to which their sizes and parities are broadcast, some ten megabytes.
 SMALL_BAGS = 50_000
 #: Characters handled together in a task, words that a task remembers.
@@ -246,27 +250,28 @@ def ranked(shingles: bytes, weights: bytes, common: np.ndarray, count: np.ndarra
 
 
 def element_rows(bags: DataFrame, common: np.ndarray, count: np.ndarray, share: float) -> DataFrame:
-    """bags (node, root, n, shingles, weights, parity) to (node, root, n, element, parity), for each the rarest n - ceil(share n) + 1."""
+    """bags (node, n, shingles, weights) to (node, n, element, pos), for each the rarest n - ceil(share n) + 1 in order."""
     table_ = bags.sparkSession.sparkContext.broadcast((common, count))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [ranked(s, w, *table_.value)[: int(n) - int(np.ceil(n * share - 1e-9)) + 1] for s, w, n in zip(batch["shingles"], batch["weights"], batch["n"], strict=True)]
-            size = [len(x) for x in parts]
-            out = batch[["node", "root", "n", "parity"]].loc[batch.index.repeat(size)].reset_index(drop=True)
-            yield out.assign(element=np.concatenate(parts) if parts else [])
+            size = np.array([len(x) for x in parts], dtype=np.int64)
+            out = batch[["node", "n"]].loc[batch.index.repeat(size)].reset_index(drop=True)
+            pos = np.arange(len(out)) - np.repeat(np.cumsum(size) - size, size)
+            yield out.assign(element=np.concatenate(parts) if parts else [], pos=pos.astype(np.int32))
 
-    return bags.select("node", "root", "n", "shingles", "weights", "parity").mapInPandas(work, "node long, root long, n long, parity array<long>, element long")
+    return bags.select("node", "n", "shingles", "weights").mapInPandas(work, "node long, n long, element long, pos int")
 
 
-def rare_pairs(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """nodes (node, root) to pairs (a, b) of different roots that share one of each one's rarest elements.
+def rare_elements(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(node, n, element, pos): each node's rarest elements, by prefix filtering.
 
     Of n elements the rarest n - ceil(threshold n) + 1 are enough: were none of them shared, fewer than
     threshold n would be. Any order of elements common to all nodes gives every pair; the one used
     counts elements over about SAMPLE nodes and knows the COMMON most frequent.
     """
-    own = bags.join(nodes, "node")
+    own = bags.join(nodes.select("node"), "node")
     share = min(1.0, SAMPLE / max(1, nodes.count()))
     drawn = own.where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < F.lit(share * 1_000_003))
     none = np.zeros(0, dtype=np.int64)
@@ -275,16 +280,58 @@ def rare_pairs(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame
         top = leading(seen, "f", COMMON).orderBy(F.desc("f"), "element").limit(COMMON).collect()
         top.sort(key=lambda r: r["element"])
         common, count = (np.array([r[c] for r in top], dtype=np.int64) for c in ("element", "f"))
-        first = written(element_rows(own, common, count, threshold), "prefixes")
-    mixed = first.groupBy("element").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("element")
-    first = written(first.join(sized(written(mixed, "mixed")), "element", "left_semi"), "prefixes")
-    other = first.select("element", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("parity").alias("q"))
-    near = (F.col("root") < F.col("other")) & may_reach(threshold, "n", "m", "parity", "q")
-    return first.join(other, "element").where(near).select(F.col("node").alias("a"), "b")
+        return written(element_rows(own, common, count, threshold), "prefixes")
+
+
+def still_mixed(first: DataFrame, roots: DataFrame) -> DataFrame:
+    """first with each node's root, only elements whose nodes aren't in one component yet."""
+    at = written(first.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node")), "at")
+    mixed = at.groupBy("element").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("element")
+    return written(at.join(sized(written(mixed, "mixed")), "element", "left_semi"), "mixed-prefixes")
+
+
+def neighbours(rows: DataFrame, key: list[str], size: str, turn: int) -> DataFrame:
+    """Pairs (a, b) of different roots that stand next to each other in a random order of a key's nodes, cut into stretches."""
+    stretch = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col(size) / STRETCH).cast("long"))
+    order = Window.partitionBy(*key, stretch).orderBy(F.xxhash64("node", key[0], F.lit(turn)))
+    near = rows.withColumn("b", F.lag("node").over(order)).withColumn("other", F.lag("root").over(order))
+    return near.where("b is not null and root <> other").select(F.col("node").alias("a"), "b")
+
+
+def rare_pairs(mixed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """mixed (node, n, element, pos, root) to pairs (a, b) of different roots that share a rare element.
+
+    A pair is formed where its first shared element lets it reach the threshold: behind places i and j
+    at most 1 + min(n - i, m - j) - 1 elements are shared. Each row also knows its node's first LEADERS
+    elements that several components have; where two nodes share an earlier one of these, the pair is
+    formed there and not again. A frequent element's nodes are dealt into salts of about DEALT nodes, the
+    other side going to each, so that no task forms all its pairs.
+    """
+    lead = mixed.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "element"))), 1, LEADERS).alias("lead"))
+    lead = lead.join(bags.select("node", "parity"), "node")
+    size = written(mixed.groupBy("element").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > DEALT), "hot")
+    rows = mixed.join(written(lead, "lead"), "node").join(sized(size), "element", "left")
+    salts = F.coalesce(F.ceil(F.col("size") / DEALT), F.lit(1)).cast("int")
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("size")
+    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    right = right.select("element", "salt", *(F.col(x).alias(y) for x, y in (("node", "b"), ("root", "other"), ("n", "m"), ("pos", "j"), ("parity", "q"), ("lead", "lead2"))))
+    reach = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("j")) - 1 >= (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9
+    before = lambda xs, at: F.transform(F.filter(xs, lambda x: x["pos"] < at), lambda x: x["element"])
+    again = F.arrays_overlap(before(F.col("lead"), F.col("pos")), before(F.col("lead2"), F.col("j")))
+    near = (F.col("root") < F.col("other")) & reach & may_reach(threshold, "n", "m", "parity", "q") & ~again
+    return left.join(right, ["element", "salt"]).where(near).select(F.col("node").alias("a"), "b")
 
 
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, uid: str | None = None) -> DataFrame:
     """One row per input row: uid, doc_id, class_id (the doc_id that stays), class_size, kept."""
+    with scope(docs.sparkSession):
+        rows, groups = class_rows(docs, threshold, uid)
+    out = rows.join(groups, "root", "left")
+    return out.select("uid", "doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("f.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("uid") == F.col("f.uid"), F.lit(True)).alias("kept"))
+
+
+def class_rows(docs: DataFrame, threshold: float, uid: str | None) -> tuple[DataFrame, DataFrame]:
+    """(uid, doc_id, root) of every row, root null without shingles, and (root, f, class_size) of every class."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select((F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), F.col("doc_id").cast("string").alias("doc_id"), F.unhex(F.md5(text)).alias("tk"), text.alias("text"))
@@ -305,34 +352,42 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, uid: str | None
 
     links = verified(members.select(F.col("node").alias("a"), F.col("first").alias("b")), bags, threshold)
     roots = components(spark, links)
-    for turn in ("near", "rest"):
+
+    def add(pairs: DataFrame) -> bool:
+        """Verifies pairs; whether they held new links."""
+        nonlocal links, roots
+        new = verified(pairs, bags, threshold)
+        if new.isEmpty():
+            return False
+        links = written(links.union(new).distinct(), "links")
+        roots = components(spark, links)
+        return True
+
+    def still_open() -> DataFrame:
         at = members.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = at.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band", "key")
-        open_ = written(at.join(sized(written(mixed, "mixed")), ["band", "key"], "left_semi"), "open")
-        if turn == "near":
-            # a large bucket's order is cut into stretches, so that no task sorts a whole one
-            stretch = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / STRETCH).cast("long"))
-            order = Window.partitionBy("band", "key", stretch).orderBy(F.xxhash64("node", "band"))
-            near = open_.withColumn("b", F.lag("node").over(order)).withColumn("other", F.lag("root").over(order))
-            near = near.where("b is not null and root <> other").select(F.col("node").alias("a"), "b")
-            small = open_.where(F.col("size") <= SMALL)
-            across = small.join(small.select("band", "key", F.col("node").alias("b"), F.col("root").alias("other")), ["band", "key"])
-            pairs = near.union(across.where("root < other").select(F.col("node").alias("a"), "b"))
-        else:
-            left = written(open_.where(F.col("size") > SMALL).select("node", "root").distinct(), "left")
-            if left.isEmpty():
+        return written(at.join(sized(written(mixed, "mixed")), ["band", "key"], "left_semi"), "open")
+
+    open_ = still_open()
+    small = open_.where(F.col("size") <= SMALL)
+    across = small.join(small.select("band", "key", F.col("node").alias("b"), F.col("root").alias("other")), ["band", "key"])
+    add(neighbours(open_, ["band", "key"], "size", 0).union(across.where("root < other").select(F.col("node").alias("a"), "b")))
+    left = written(still_open().where(F.col("size") > SMALL).select("node").distinct(), "left")
+    if not left.isEmpty():
+        first = rare_elements(left, bags, threshold)
+        # rounds of few comparisons join most of what belongs together, before what is left is compared in full
+        for turn in range(1, FOLDS + 1):
+            mixed = still_mixed(first, roots)
+            count = mixed.groupBy("element").agg(F.count(F.lit(1)).alias("size"))
+            if not add(neighbours(mixed.join(count, "element"), ["element"], "size", turn)):
                 break
-            pairs = rare_pairs(left, bags, threshold)
-        links = written(links.union(verified(pairs, bags, threshold)).distinct(), "links")
-        roots = components(spark, links)
+        add(rare_pairs(still_mixed(first, roots), bags, threshold))
 
     rows = signed.select("uid", F.col("doc_id").cast("long").alias("doc_id"), "bag").join(nodes.select("bag", "node"), "bag", "left")
     rows = rows.join(sized(roots), "node", "left").select("uid", "doc_id", F.coalesce("root", "node").alias("root"))
-    rows = written(rows, "rows")
+    rows = written(rows, "rows", result=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "uid"))
-    groups = written(rows.where("root is not null").groupBy("root").agg(first.alias("f"), F.count(F.lit(1)).alias("class_size")), "groups")
-    out = rows.join(groups, "root", "left")
-    return out.select("uid", "doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("f.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce(F.col("uid") == F.col("f.uid"), F.lit(True)).alias("kept"))
+    return rows, written(rows.where("root is not null").groupBy("root").agg(first.alias("f"), F.count(F.lit(1)).alias("class_size")), "groups", result=True)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -340,7 +395,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     uid = fresh("uid", docs)
     rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
     kept = near_classes(rows, threshold, uid).where("kept").select(F.col("uid").alias(uid))
-    return rows.join(kept, uid, "left_semi").select(*docs.columns)
+    return rows.join(kept, uid, "left_semi").select(*own_columns(docs))
 
 
 def op5_bagminhash(spark, sf_dir):
