@@ -38,7 +38,7 @@ from .common import fresh, own_columns, scope, sized, table, written
 
 LENGTH, K = 200, 64
 #: Classes of a bucket up to which it is handled whole in one task (of at most 2 * LENGTH bytes each), classes dealt to a task.
-HOT, DEALT = 16_384, 8192
+HOT, DEALT = 8192, 2048
 #: Bytes handled together in a task.
 SLICE = 1_000_000
 
@@ -122,9 +122,8 @@ def segment_table(keyed: DataFrame, length: int = LENGTH, k: int = K, bits: int
 
 
 def suffix_array(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equally long byte strings, in position order: their sorted order, and the length each shares with the one before it."""
-    # a letter more than each byte, for numpy's strings drop zero bytes at the end; UTF-8 has no byte 255
-    order = np.argsort(np.ascontiguousarray(rows + np.uint8(1)).view(f"S{rows.shape[1]}").ravel(), kind="stable")
+    """Of equally long byte strings without zero bytes, in position order: their sorted order, and the length each shares with the one before it."""
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
     shared = np.zeros(len(order), dtype=np.int64)
     for a in range(1, len(order), 4096):
         differ = rows[order[a : a + 4096]] != rows[order[a - 1 : a - 1 + len(order[a : a + 4096])]]
@@ -173,7 +172,8 @@ def match_group(rows: pd.DataFrame, length: int, first_stays: bool) -> pd.DataFr
     twin = np.sort(order[twin | np.append(twin[1:], False)])
     if not len(twin):
         return pd.DataFrame({"tk": [], "start": [], "end": []})
-    windows = np.lib.stride_tricks.sliding_window_view(data, length)[start[twin]]
+    # a letter more than each byte, for numpy's strings drop zero bytes at the end; UTF-8 has no byte 255
+    windows = np.lib.stride_tricks.sliding_window_view(data + np.uint8(1), length)[start[twin]]
     order, shared = suffix_array(windows)
     factor = previous_factors(order, shared)
     if not first_stays:  # an occurrence behind counts as well: the factors of the positions in reverse
