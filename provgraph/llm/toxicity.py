@@ -36,7 +36,7 @@ POSITIVES, NEGATIVES, TERMS = 4000, 8000, 4096
 FACTORS, STEPS, RATE, DECAY = 8, 200, 0.05, 5e-4
 #: Labelled texts that a term must occur in, and the root of the likelihood ratio from which it counts by itself; the most
 #: frequent terms are held whatever the labels say of each alone, for they may matter in a pair.
-SUPPORT, SURE, FREQUENT = 4, 3.0, 128
+SUPPORT, SURE, FREQUENT = 4, 3.5, 32
 #: The decay of these unsure terms, which have a vector only.
 UNSURE = 0.02
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -45,7 +45,7 @@ LENGTHS = 24
 
 WORD = re.compile(r"[^\W_]+")
 #: Words that a task remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 
 def terms(word: str) -> list[int]:
@@ -173,9 +173,8 @@ def choose_terms(rows: DataFrame, most: int = TERMS) -> DataFrame:
     # one row on the other side
     found = found.where(F.col("n") >= SUPPORT).crossJoin(F.broadcast(n.select(F.col("n").alias("all"), F.col("p").alias("pos"))))
     cell = lambda seen, row, column: F.when(seen > 0, seen * F.log(seen * F.col("all") / (row * column))).otherwise(0.0)
-    with_, without = F.col("n"), F.col("all") - F.col("n")
-    toxic, clean = F.col("pos"), F.col("all") - F.col("pos")
-    told = cell(F.col("p"), with_, toxic) + cell(with_ - F.col("p"), with_, clean) + cell(toxic - F.col("p"), without, toxic) + cell(clean - with_ + F.col("p"), without, clean)
+    # how far the labels of the texts that have the term are from all labels; texts without it say more of lengths than of it
+    told = cell(F.col("p"), F.col("n"), F.col("pos")) + cell(F.col("n") - F.col("p"), F.col("n"), F.col("all") - F.col("pos"))
     found = written(found.select("term", "n", F.sqrt(2 * F.greatest(told, F.lit(0.0))).alias("z")), "terms", result=True)
     often = min(FREQUENT, most // 2)
     best = leading(found.where(F.col("z") >= SURE), "z", most - often).orderBy(F.desc("z"), "term").limit(most - often).select("term", F.lit(True).alias("sure"))
