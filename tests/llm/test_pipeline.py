@@ -27,11 +27,16 @@ def corpus():
 
 
 @pytest.fixture(scope="module")
-def stages(spark, tmp_path_factory):
+def root(spark, tmp_path_factory):
     rows, labels = corpus()
     root = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    return root
+
+
+@pytest.fixture(scope="module")
+def stages(spark, root):
     docs, out = spark.read.parquet(f"{root}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, written(stage(spark, docs, root), name)
@@ -89,5 +94,22 @@ def test_pieces_hold_every_id(stages):
     assert Counter((r.doc_id, r.start, r.ids_crc32) for r in after.collect()) == want
 
 
-def test_run_equals_its_stages(stages):
+def test_run_equals_its_stages(spark, root, stages):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == list(stages)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    want = Counter(map(tuple, stages["packing"][1].select(*columns).collect()))
+    assert Counter(map(tuple, corpus_pipeline.run(spark, root).select(*columns).collect())) == want
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (1, ""), (2, None), (2, None), (3, "word " * 60_000), (3, "word " * 60_000), (4, "x")]])
+def test_odd_tables_pass_all_stages(spark, rows, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, uid long, `a.b` string, tk binary, kept boolean"
+    spark.createDataFrame([(d, t, None, None, None if t is None else len(t), 1, "x", None, True) for d, t in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns
+    assert {r.doc_id for r in docs.collect()} == ({1, 3, 4} if rows else set())
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == ({1, 3, 4} if rows else set())
