@@ -10,8 +10,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Media file endings, and the patterns of personal locations.
-MEDIA = ("wav", "aif", "aiff", "mp3", "flac", "ogg", "m4a", "mid", "midi", "rex", "caf")
+# Endings of media and project files, the shape of a bare path, and the patterns of personal locations.
+MEDIA = (
+    "wav", "wave", "aif", "aiff", "aifc", "flac", "mp3", "m4a", "aac", "ogg", "oga", "opus", "caf", "rex", "rx2",
+    "rpp", "als", "adg", "logicx", "dawproject", "cpr", "npr", "song", "flp", "ptx", "ptf",
+    "mid", "midi", "mov", "mp4", "m4v", "wmv",
+)
+PATH_SHAPE = r"(?:/|\./|\.\./|~/|~$|[A-Za-z]:[\\/])"
 HOMES = (r"/Users/[^/\s\"]+", r"/home/[^/\s\"]+", r"/Volumes/[^/\s\"]+", r"[A-Za-z]:\\Users\\[^\\\s\"]+")
 REDACTED = "<redacted>"
 MEDIA_TOKEN = rf"[\w./\\-]+\.(?:{'|'.join(MEDIA)})\b"
@@ -29,8 +34,8 @@ def hash_asset(path: Column) -> Column:
 
 
 def is_asset(text: Column) -> Column:
-    """A string that as a whole is a media file or a path to one."""
-    return text.rlike(rf"(?i)^[^\n]*\.(?:{'|'.join(MEDIA)})$")
+    """A string that as a whole is a media or project file, or a bare path."""
+    return text.rlike(rf"(?i)^[^\n]*\.(?:{'|'.join(MEDIA)})\s*$") | text.rlike(f"^{PATH_SHAPE}")
 
 
 def sanitize_text(text: Column, users: tuple[str, ...] = ()) -> Column:
@@ -43,7 +48,7 @@ def sanitize_text(text: Column, users: tuple[str, ...] = ()) -> Column:
 def sanitize_json(column: str, users: tuple[str, ...] = ()) -> Column:
     """Every key and string of a JSON document, at any depth; what isn't JSON becomes null. An Arrow UDF, for depth has no bound."""
     homes = [re.compile(p) for p in (*HOMES, *(rf"\b{re.escape(u)}\b" for u in users))]
-    token, whole = re.compile(f"(?i){MEDIA_TOKEN}"), re.compile(rf"(?i)^[^\n]*\.(?:{'|'.join(MEDIA)})$")
+    token, whole = re.compile(f"(?i){MEDIA_TOKEN}"), re.compile(rf"(?i)^[^\n]*\.(?:{'|'.join(MEDIA)})\s*$|^{PATH_SHAPE}")
 
     def hashed(m: str) -> str:
         return "asset:sha256:" + hashlib.sha256(m.encode()).hexdigest()[:12]

@@ -29,7 +29,7 @@ def readout(items: DataFrame) -> DataFrame:
     """items (bundle_id, bucket): a class of how well a snapshot can be seen: mostly seen, helped, hidden parts, or partly seen."""
     n = items.groupBy("bundle_id").agg(F.count(F.lit(1)).alias("applicable"), *(F.count_if(F.col("bucket") == b).alias(b) for b in ("observed", "inferred", "annotated", "hidden")))
     share = lambda x: x / F.col("applicable")
-    kind = F.when(share(F.col("observed")) >= 0.9, "seen").when(share(F.col("hidden")) >= 0.2, "hidden").when(F.col("inferred") + F.col("annotated") >= F.col("observed"), "helped").otherwise("partly")
+    kind = F.when(share(F.col("observed")) >= 0.9, "seen").when(F.col("inferred") + F.col("annotated") >= F.col("observed"), "helped").when(share(F.col("hidden")) >= 0.2, "hidden").otherwise("partly")
     return n.select("bundle_id", "applicable", kind.alias("readout"))
 
 

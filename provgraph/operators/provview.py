@@ -28,8 +28,11 @@ def agents(snapshots: DataFrame) -> DataFrame:
 
 
 def attributions(entities: DataFrame, provenance: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(bundle_id, id, agent, observability): observed and hidden things are the tool's, inferred ones the analyzer's, annotated ones the user's."""
+    """(bundle_id, id, agent, observability) of every entity; one whose evidence is missing counts as derived.
+
+    Inferred, derived and hidden things are the analyzer's, annotated ones the user's, observed ones the capturing tool's.
+    """
     records = provenance.select("bundle_id", F.col("id").alias("star"), F.lower("evidence").alias("observability"))
-    rows = entities.join(records, ["bundle_id", "star"]).join(agents(snapshots).select("bundle_id", "agent"), "bundle_id")
-    who = F.when(F.col("observability") == "inferred", "analyzer").when(F.col("observability") == "annotated", "user").otherwise(F.col("agent"))
+    rows = entities.join(records, ["bundle_id", "star"], "left").withColumn("observability", F.coalesce("observability", F.lit("derived"))).join(agents(snapshots).select("bundle_id", "agent"), "bundle_id")
+    who = F.when(F.col("observability").isin("inferred", "derived", "hidden"), "analyzer").when(F.col("observability") == "annotated", "user").otherwise(F.col("agent"))
     return rows.select("bundle_id", "id", who.alias("agent"), "observability")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Centres of the octave bands in Hz.
-BANDS = (63, 125, 250, 500, 1000, 2000, 4000, 8000)
+# Bounds of the analysis bands in Hz.
+BANDS = ((60, 120), (120, 250), (250, 500), (500, 1000), (1000, 2000), (2000, 4000), (4000, 8000), (8000, 16000))
 
 
 def mono(samples: DataFrame) -> DataFrame:
@@ -60,12 +60,12 @@ def reconcile(stems: DataFrame, mixes: DataFrame) -> DataFrame:
 
 
 def band_energies(samples: DataFrame, rate: int) -> DataFrame:
-    """(audio_id, band_hz, energy): octave bands of a file's spectrum; one file is one group."""
+    """(audio_id, band_hz, energy): energy of a file's spectrum from each band's lower bound on; one file is one group."""
 
     def spectrum(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("i")["x"].to_numpy()
         power, hz = np.abs(np.fft.rfft(x)) ** 2 / max(1, len(x)), np.fft.rfftfreq(len(x), 1 / rate)
-        energy = [float(power[(hz >= b / 2**0.5) & (hz < b * 2**0.5)].sum()) for b in BANDS]
-        return pd.DataFrame({"audio_id": rows["audio_id"].iloc[0], "band_hz": BANDS, "energy": energy})
+        energy = [float(power[(hz >= low) & (hz < high)].sum()) for low, high in BANDS]
+        return pd.DataFrame({"audio_id": rows["audio_id"].iloc[0], "band_hz": [low for low, _ in BANDS], "energy": energy})
 
     return mono(samples).groupBy("audio_id").applyInPandas(spectrum, "audio_id long, band_hz int, energy double")

@@ -18,10 +18,10 @@ def issue(rows: DataFrame, severity: str, rule: str, element: Column) -> DataFra
     return rows.select("bundle_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), element.cast("string").alias("element_id"))
 
 
-def version_gate(snapshots: DataFrame, major: int = 1, minor: int = 0) -> DataFrame:
-    """Snapshots whose schema version is missing, malformed, of another major or a later minor number."""
+def version_gate(snapshots: DataFrame, major: str = "0", minor: str = "2") -> DataFrame:
+    """Snapshots whose schema version is missing, malformed, or of another major or minor number than the contract's."""
     parts = F.split("schema_version", r"\.")
-    ok = (F.size(parts) >= 2) & (F.get(parts, F.lit(0)).try_cast("int") == major) & (F.get(parts, F.lit(1)).try_cast("int") <= minor)
+    ok = (F.size(parts) >= 2) & (F.get(parts, F.lit(0)) == major) & (F.get(parts, F.lit(1)) == minor)
     return issue(snapshots.where(~F.coalesce(ok, F.lit(False))), "error", "schema_version", F.col("schema_version"))
 
 

@@ -70,7 +70,7 @@ def unknown_states(spark, sf_dir):
 
 ISSUES = """, refs AS (SELECT bundle_id, id FROM provenance), ids AS (SELECT DISTINCT bundle_id, id FROM entities),
 issues AS (
-  SELECT bundle_id, 'error' AS severity, 'schema_version' AS rule, schema_version AS element_id FROM snapshots WHERE schema_version NOT LIKE '1.0.%'
+  SELECT bundle_id, 'error' AS severity, 'schema_version' AS rule, schema_version AS element_id FROM snapshots WHERE schema_version NOT LIKE '0.2.%'
   UNION ALL SELECT bundle_id, 'error', 'entity_id', id FROM (SELECT bundle_id, id, row_number() OVER (PARTITION BY bundle_id, id) AS n FROM entities) WHERE n > 1
   UNION ALL SELECT bundle_id, 'error', 'relationship_id', id FROM (SELECT bundle_id, id, row_number() OVER (PARTITION BY bundle_id, id) AS n FROM relationships) WHERE n > 1
   UNION ALL SELECT bundle_id, 'error', 'entity_prov', e.id || '->' || star FROM entities e WHERE star IS NOT NULL AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.bundle_id = e.bundle_id AND r.id = e.star)
@@ -439,7 +439,7 @@ def prov_relations(spark, sf_dir):
 
 
 @query(with_clause("entities", "provenance", "snapshots") + """
-SELECT e.bundle_id, e.id, CASE p.evidence WHEN 'INFERRED' THEN 'analyzer' WHEN 'ANNOTATED' THEN 'user' ELSE 'tool:' || s.daw END AS agent, lower(p.evidence) AS observability FROM entities e JOIN provenance p ON e.bundle_id = p.bundle_id AND e.star = p.id JOIN snapshots s ON e.bundle_id = s.bundle_id""")
+SELECT e.bundle_id, e.id, CASE coalesce(p.evidence, 'DERIVED') WHEN 'INFERRED' THEN 'analyzer' WHEN 'DERIVED' THEN 'analyzer' WHEN 'HIDDEN' THEN 'analyzer' WHEN 'ANNOTATED' THEN 'user' ELSE 'tool:' || s.daw END AS agent, lower(coalesce(p.evidence, 'DERIVED')) AS observability FROM entities e LEFT JOIN provenance p ON e.bundle_id = p.bundle_id AND e.star = p.id JOIN snapshots s ON e.bundle_id = s.bundle_id""")
 def prov_attributions(spark, sf_dir):
     return provview.attributions(*tables(spark, sf_dir, "entities", "provenance", "snapshots"))
 
@@ -512,7 +512,7 @@ def inspector_evidence(spark, sf_dir):
 
 
 @query(with_clause("entities", "provenance", "availability") + LEDGER + """, n AS (SELECT bundle_id, count(*) AS applicable, count(*) FILTER (bucket = 'observed') AS o, count(*) FILTER (bucket IN ('inferred', 'annotated')) AS h, count(*) FILTER (bucket = 'hidden') AS x FROM ledger GROUP BY 1)
-SELECT bundle_id, applicable, CASE WHEN o / applicable >= 0.9 THEN 'seen' WHEN x / applicable >= 0.2 THEN 'hidden' WHEN h >= o THEN 'helped' ELSE 'partly' END AS readout FROM n""")
+SELECT bundle_id, applicable, CASE WHEN o / applicable >= 0.9 THEN 'seen' WHEN h >= o THEN 'helped' WHEN x / applicable >= 0.2 THEN 'hidden' ELSE 'partly' END AS readout FROM n""")
 def inspector_readout(spark, sf_dir):
     return access.readout(_ledger(spark, sf_dir))
 

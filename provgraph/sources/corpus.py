@@ -22,7 +22,7 @@ SELECT l.*, o.o_custkey AS bundle_id, o.o_orderpriority,
 FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey""",
     "snapshots": """
 SELECT c_custkey AS bundle_id, 'snap:' || CAST(c_custkey AS STRING) AS snapshot_id,
-       CASE WHEN c_custkey % 50 = 0 THEN '0.9.0' ELSE '1.0.0' END AS schema_version,
+       CASE WHEN c_custkey % 50 = 0 THEN '0.9.0' ELSE '0.2.0' END AS schema_version,
        CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'ableton_live' WHEN 'BUILDING' THEN 'cubase' WHEN 'FURNITURE' THEN 'logic_pro' WHEN 'HOUSEHOLD' THEN 'reaper' ELSE 'synthetic' END AS daw
 FROM {customer}""",
     "provenance": """

@@ -6,14 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from provgraph.functions import names, sanitize
-from provgraph.operators import align, delta, graph, influence, lineage, rules, signal, similarity, validate
+from provgraph.operators import access, align, delta, graph, influence, lineage, provview, rules, signal, similarity, validate
 from provgraph.sources import bundles
 from provgraph.streaming import ingest
 
 
 def snapshot(name, value=0.5):
     return {
-        "schema_version": "1.0.0", "snapshot_id": name, "created_at": "t", "project": "d:p", "source": {"daw": "reaper", "daw_version": "7", "adapter": "a", "adapter_version": "1", "capture_modes": ["file"]},
+        "schema_version": "0.2.0", "snapshot_id": name, "created_at": "t", "project": "d:p", "source": {"daw": "reaper", "daw_version": "7", "adapter": "a", "adapter_version": "1", "capture_modes": ["file"]},
         "entities": [
             {"id": "d:p", "entity_type": "PROJECT", "name": "Song", "semantic_roles": [], "properties": {}, "prov": {"*": "prov:0001"}, "availability": {}},
             {"id": "d:t", "entity_type": "TRACK", "name": "Lead Vox", "semantic_roles": ["vocal_source"], "properties": {"path": "/Users/bobby/x.wav"}, "prov": {"*": "prov:0001", "name": "prov:0009"}, "availability": {"channel": "UNKNOWN"}},
@@ -83,6 +83,24 @@ def test_sanitize_text(spark):
     assert out[0].startswith("asset:sha256:") and "bob" not in out[1] and "take1" not in out[1] and out[2] == "plain"
 
 
+def test_contract_constants(spark):
+    """Export words aren't identity, project files and bare paths are hashed, only the contract's version passes, missing evidence is derived."""
+    t = spark.createDataFrame([("05_Lead_Vocal_Bounce.wav",), ("Bounce.wav",), ("main bus",)], "t string")
+    got = [sorted(r.i) for r in t.select(names.identity(names.tokens(F.col("t"))).alias("i")).collect()]
+    assert got == [["05", "lead", "vocal"], ["bounce", "wav"], ["bus", "main"]]
+    p = spark.createDataFrame([("mix.als",), ("C:\\work\\x",), ("~/x",), ("a take.rpp here",), ("and/or",)], "t string")
+    out = [r.s for r in p.select(sanitize.sanitize_text(F.col("t")).alias("s")).collect()]
+    assert all(x.startswith("asset:") for x in out[:3]) and "take.rpp" not in out[3] and out[4] == "and/or"
+    v = spark.createDataFrame([("a", "0.2.0"), ("b", "0.2"), ("c", "0.3.0"), ("d", "1.0.0"), ("e", "0")], "bundle_id string, schema_version string")
+    assert {r.bundle_id for r in validate.version_gate(v).collect()} == {"c", "d", "e"}
+    e = spark.createDataFrame([("b", "x", "p:1"), ("b", "y", "p:9")], "bundle_id string, id string, star string")
+    prov = spark.createDataFrame([("b", "p:1", "OBSERVED")], "bundle_id string, id string, evidence string")
+    rows = provview.attributions(e, prov, spark.createDataFrame([("b", "reaper")], "bundle_id string, daw string")).collect()
+    assert {(r.id, r.agent, r.observability) for r in rows} == {("x", "tool:reaper", "observed"), ("y", "analyzer", "derived")}
+    items = spark.createDataFrame([("b", x) for x in ("hidden", "hidden", "inferred", "annotated", "observed")], "bundle_id string, bucket string")
+    assert access.readout(items).first().readout == "helped"
+
+
 def edges(spark, pairs, kind="CHANNEL_SENDS_TO"):
     return spark.createDataFrame([("b", f"e{i}", kind, s, t) for i, (s, t) in enumerate(pairs)], "bundle_id string, id string, rel_type string, source string, target string")
 
