@@ -4,7 +4,8 @@ documents -> toxicity -> exact_dedup -> near_dedup -> suffix_dedup -> packing. A
 return the columns of documents; n_chars follows a text that was cut. The last returns one row for
 each packed piece. A stage can be run again from its predecessor's table if executors are lost.
 
-A stage's result is to be written before the next stage is called, which deletes the intermediate
+Stages hand texts to Python in small batches (BATCH, set in the session, as the caller writes the
+result): an executor keeps the memory that its largest batch took. A stage's result is to be written before the next stage is called, which deletes the intermediate
 tables of those before it, except where its own input still reads them.
 
 Defined results: null and empty texts and repeated rows pass the toxicity stage by the score of a text
@@ -26,6 +27,9 @@ from provgraph.llm import exact_dedup, minhash_dedup, packing, suffix_dedup
 from provgraph.llm import toxicity as tox
 from provgraph.llm.common import delete, scope, table, written
 
+#: Rows, and bytes, handed to Python at a time. Results don't depend on them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 #: Intermediate tables of the stages run so far, still to be deleted.
 _TABLES: list[str] = []
 
@@ -42,6 +46,8 @@ def _stage(function: Callable) -> Callable:
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         _clear(spark, docs)
+        for key, value in BATCH.items():
+            spark.conf.set(key, value)
         with scope(spark, _TABLES):
             return function(spark, docs, sf_dir)
 
