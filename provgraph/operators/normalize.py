@@ -34,8 +34,32 @@ def channel_id(kind: Column, track: Column) -> Column:
     return F.when(kind.isin("return", "master"), track).when(kind != "inferred", F.concat(track, F.lit(":channel")))
 
 
+# Track roles and the semantic role of each; any other role is only slugged.
+ROLES = {
+    "vocal": "vocal_source",
+    "vocals": "vocal_source",
+    "drums": "drum_source",
+    "drum": "drum_source",
+    "percussion": "drum_source",
+    "bass": "bass_source",
+    "guitar": "guitar_source",
+    "keys": "keys_source",
+    "piano": "keys_source",
+    "synth": "synth_source",
+    "strings": "strings_source",
+    "brass": "brass_source",
+    "fx": "effect_source",
+    "bus": "submix",
+    "master": "main_output",
+    "reference": "reference_material",
+}
+
+
 def semantic_role(kind: Column, role: Column) -> Column:
-    own = F.regexp_replace(F.lower(F.trim(role)), "[^a-z0-9]+", "_")
+    """The first semantic role of a track: what its kind says, then its own role; null and empty roles give none."""
+    known = F.element_at(F.create_map(*(F.lit(x) for p in ROLES.items() for x in p)), F.lower(F.trim(role)))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(role), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    own = F.when(role != "", F.coalesce(known, F.when(slug == "", "unnamed").otherwise(slug)))
     return F.when(kind == "return", "effect_return").when(kind == "master", "main_output").when(kind == "group", "submix").otherwise(own)
 
 
@@ -68,7 +92,7 @@ def entities(sessions: DataFrame) -> DataFrame:
     parts = [
         row(sessions.select("bundle_id", F.concat("dialect", F.lit(":project")).alias("id")), "PROJECT", none.cast("string")),
         row(t.where("kind not in ('return', 'master')"), "TRACK", F.col("name"), role),
-        row(channels, "CHANNEL", F.col("name"), F.when(F.col("kind").isin("return", "master"), role)),
+        row(channels, "CHANNEL", F.col("name"), F.when(F.col("kind").isin("return", "master", "group"), role)),
         row(p, "PROCESSOR", F.col("name"), family=F.col("family")),
         row(parameters(p), "PARAMETER", F.col("name"), value=F.col("value")),
         row(clips, "TEMPORAL_OBJECT", F.col("name")),

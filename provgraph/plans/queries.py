@@ -152,7 +152,7 @@ def metric_corpus(spark, sf_dir):
     return metrics.corpus(metrics.evidence_ratios(_ledger(spark, sf_dir)), done)
 
 
-LAYER = """, e AS (SELECT * FROM relationships r WHERE rel_type IN ('CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO', 'SUMS_TO', 'TRACK_USES_CHANNEL') AND EXISTS (SELECT 1 FROM entities x WHERE x.bundle_id = r.bundle_id AND x.id = r.source) AND EXISTS (SELECT 1 FROM entities x WHERE x.bundle_id = r.bundle_id AND x.id = r.target)),
+LAYER = """, e AS (SELECT * FROM relationships r WHERE rel_type IN ('TRACK_USES_CHANNEL', 'CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO', 'CHANNEL_PROCESSED_BY', 'SUMS_TO') AND EXISTS (SELECT 1 FROM entities x WHERE x.bundle_id = r.bundle_id AND x.id = r.source) AND EXISTS (SELECT 1 FROM entities x WHERE x.bundle_id = r.bundle_id AND x.id = r.target)),
 touched AS (SELECT bundle_id, source AS id FROM e UNION SELECT bundle_id, target FROM e),
 n AS (SELECT * FROM entities x WHERE entity_type IN ('CHANNEL', 'ROUTING_ENDPOINT') OR EXISTS (SELECT 1 FROM touched t WHERE t.bundle_id = x.bundle_id AND t.id = x.id))"""
 
@@ -432,10 +432,13 @@ def parameter_influence(spark, sf_dir):
     return influence.influence(*tables(spark, sf_dir, "entities", "relationships")).select("bundle_id", "id", "effective")
 
 
-@query(with_clause("relationships") + """
-SELECT bundle_id, CASE rel_type WHEN 'CONTAINS' THEN 'hadMember' WHEN 'TRACK_USES_CHANNEL' THEN 'used' WHEN 'CHANNEL_PROCESSED_BY' THEN 'used' ELSE 'wasInfluencedBy' END AS relation, count(*) AS n FROM relationships GROUP BY ALL""")
+@query(with_clause("entities", "relationships") + """,
+edges AS (SELECT t.bundle_id, 'prov:hadMember' AS relation FROM entities t JOIN entities p ON t.bundle_id = p.bundle_id WHERE t.entity_type = 'TRACK' AND p.entity_type = 'PROJECT'
+  UNION ALL SELECT bundle_id, CASE rel_type WHEN 'CHANNEL_PROCESSED_BY' THEN 'prov:hadMember' ELSE 'prov:wasInfluencedBy' END FROM relationships WHERE rel_type IN ('CHANNEL_PROCESSED_BY', 'CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO'))
+SELECT bundle_id, relation, count(*) AS n FROM edges GROUP BY ALL""")
 def prov_relations(spark, sf_dir):
-    return provview.relations(*tables(spark, sf_dir, "relationships")).groupBy("bundle_id", "relation").agg(F.count(F.lit(1)).alias("n"))
+    edges = provview.session_edges(*tables(spark, sf_dir, "entities", "relationships"))
+    return provview.relations(edges).groupBy("bundle_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_clause("entities", "provenance", "snapshots") + """
@@ -453,24 +456,25 @@ def _sessions(spark, sf_dir):
     chains = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(p)).alias("processors"))
     oid = F.concat(F.lit("o"), key("o_orderkey"))
     kind = F.when(F.col("o_orderpriority") == "5-LOW", "return").when(F.col("o_orderstatus") == "F", "audio").when(F.col("o_orderstatus") == "O", "group").otherwise("inferred")
+    role = F.when(F.col("o_orderpriority") == "1-URGENT", " Vocals").when(F.col("o_orderpriority") == "2-HIGH", "Percussion").when(F.col("o_orderpriority") == "3-MEDIUM", "FX").otherwise(F.col("o_orderpriority"))
     clip = F.array(F.struct(F.concat(F.lit("c"), key("o_orderkey")).alias("id"), F.lit("Clip").alias("name"), F.concat(F.lit("media/"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".wav")).alias("path")))
     group = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("o"), (F.col("o_orderkey") - 1).cast("string")))
     rows = orders.join(chains, "o_orderkey", "left")
     none = F.array().cast(chains.schema["processors"].dataType)
-    t = F.struct("o_orderkey", oid.alias("id"), F.concat(F.lit("Track "), key("o_orderkey")).alias("name"), kind.alias("kind"), F.col("o_orderpriority").alias("role"), group.alias("group_id"), F.coalesce("processors", none).alias("processors"), clip.alias("clips"))
+    t = F.struct("o_orderkey", oid.alias("id"), F.concat(F.lit("Track "), key("o_orderkey")).alias("name"), kind.alias("kind"), role.alias("role"), group.alias("group_id"), F.coalesce("processors", none).alias("processors"), clip.alias("clips"))
     r = F.struct(oid.alias("source"), F.concat(F.lit("bus"), (F.col("o_orderkey") % 3).cast("string")).alias("target"), F.lit("send").alias("kind"))
     return rows.groupBy(F.col("o_custkey").alias("bundle_id")).agg(F.lit("demo").alias("dialect"), F.sort_array(F.collect_list(t)).alias("tracks"), F.sort_array(F.collect_list(r)).alias("routes"))
 
 
 SESSIONS = """, t AS (SELECT o_custkey AS bundle_id, o_orderkey, 'demo:o' || o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'return' WHEN o_orderstatus = 'F' THEN 'audio' WHEN o_orderstatus = 'O' THEN 'group' ELSE 'inferred' END AS kind,
-  trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g')) AS own FROM orders),
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'vocal_source' WHEN '2-HIGH' THEN 'drum_source' WHEN '3-MEDIUM' THEN 'effect_source' ELSE trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g'), '_') END AS own FROM orders),
 k AS (SELECT *, CASE WHEN kind = 'return' THEN id WHEN kind <> 'inferred' THEN id || ':channel' END AS channel, CASE kind WHEN 'return' THEN 'effect_return' WHEN 'group' THEN 'submix' ELSE own END AS role FROM t)"""
 
 
 @query(with_clause("lines") + SESSIONS + """
 SELECT DISTINCT bundle_id, 'demo:project' AS id, 'PROJECT' AS entity_type, NULL AS name, NULL AS role, NULL AS family, NULL::DOUBLE AS value FROM k
 UNION ALL SELECT bundle_id, id, 'TRACK', 'Track ' || o_orderkey, role, NULL, NULL FROM k WHERE kind <> 'return'
-UNION ALL SELECT bundle_id, channel, 'CHANNEL', 'Track ' || o_orderkey, CASE WHEN kind = 'return' THEN role END, NULL, NULL FROM k WHERE channel IS NOT NULL
+UNION ALL SELECT bundle_id, channel, 'CHANNEL', 'Track ' || o_orderkey, CASE WHEN kind IN ('return', 'group') THEN role END, NULL, NULL FROM k WHERE channel IS NOT NULL
 UNION ALL SELECT bundle_id, 'demo:x' || l_orderkey || '-' || line_uid, 'PROCESSOR', 'Part ' || l_partkey, NULL, l_returnflag, NULL FROM lines
 UNION ALL SELECT bundle_id, 'demo:v' || l_orderkey || '-' || line_uid, 'PARAMETER', 'Level', NULL, NULL, l_quantity FROM lines
 UNION ALL SELECT bundle_id, 'demo:c' || o_orderkey, 'TEMPORAL_OBJECT', 'Clip', NULL, NULL, NULL FROM k

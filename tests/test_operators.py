@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provgraph.functions import names, sanitize
-from provgraph.operators import access, align, delta, graph, influence, lineage, provview, rules, signal, similarity, validate
+from provgraph.operators import access, align, delta, graph, influence, lineage, normalize, provview, rules, signal, similarity, validate
 from provgraph.sources import bundles
 from provgraph.streaming import ingest
 
@@ -167,3 +167,48 @@ def test_cosine(spark):
     rows = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "x", [1.0, 1.0]), (3, "x", [0.0, 0.0])], "id long, block string, vector array<double>")
     got = {(r.id, r.other): r.similarity for r in similarity.nearest(rows, "block").collect()}
     assert got[1, 2] == 0.7071 and got[1, 3] == 0.0
+
+
+def test_decompose_reads_either_side_and_no_group_sums(spark):
+    rows = [
+        ("b", "1", "TRACK_USES_CHANNEL", "g", "gc", {}),
+        ("b", "2", "TRACK_USES_CHANNEL", "t", "tc", {}),
+        ("b", "3", "SUMS_TO", "tc", "gc", {}),
+        ("b", "4", "CHANNEL_ROUTES_TO", "tc", "gc", {"via": "group_sum"}),
+        ("b", "5", "CHANNEL_ROUTES_TO", "x", "gc", {}),
+        ("b", "6", "CHANNEL_SENDS_TO", "y", "gc", {"via": "group_sum"}),
+        ("b", "7", "CONTAINS", "g", "t", {"kind": "group_member"}),
+        ("b", "8", "CONTAINS", "g", "clip", {}),
+        ("b", "9", "CONTROLS", "v", "tc", {"kind": "vca_or_edit_group"}),
+        ("b", "10", "CONTROLS", "lane", "p", {"kind": "automation"}),
+    ]
+    rel = spark.createDataFrame(rows, "bundle_id string, id string, rel_type string, source string, target string, properties map<string,string>")
+    ent = spark.createDataFrame([("b", "g", "TRACK", "submix"), ("b", "gc", "CHANNEL", None), ("b", "v", "CHANNEL", None)], "bundle_id string, id string, entity_type string, role string")
+    found = graph.groups(ent, rel)
+    assert {r.id for r in found.collect()} == {"g", "gc", "v"}
+    out = {r.group_id: r for r in graph.decompose(found, rel).collect()}
+    for gid in ("g", "gc"):
+        assert (out[gid].channel, out[gid].contains, out[gid].sums, out[gid].routes_in, out[gid].concept_count) == ("gc", ["t"], ["tc"], ["x", "y"], 3)
+    assert (out["v"].controls, out["v"].concept_count) == (["tc"], 1)
+
+
+def test_layers(spark):
+    rows = [("b", "u", "TRACK_USES_CHANNEL", "t", "c"), ("b", "p", "CHANNEL_PROCESSED_BY", "c", "x"), ("b", "o", "OTHER", "t", "x"), ("b", "d", "CHANNEL_SENDS_TO", "c", "gone")]
+    rel = spark.createDataFrame(rows, "bundle_id string, id string, rel_type string, source string, target string")
+    ent = spark.createDataFrame([("b", "t", "TRACK"), ("b", "c", "CHANNEL"), ("b", "x", "PROCESSOR"), ("b", "m", "MEDIA_ASSET")], "bundle_id string, id string, entity_type string")
+    want = {"signal_flow": ({"u", "p"}, {"t", "c", "x"}), "organizational": ({"u"}, {"t", "c", "m"}), "all": ({"u", "p", "o"}, {"t", "c", "x", "m"}), "variant": (set(), {"m"})}
+    for name, (edges_, nodes_) in want.items():
+        e = graph.layer_edges(ent, rel, name)
+        assert ({r.id for r in e.collect()}, {r.id for r in graph.layer_nodes(ent, e, name).collect()}) == (edges_, nodes_)
+
+
+def test_provenance_relations(spark):
+    e = spark.createDataFrame([("b", k, "s", "t") for k in ("has_track", "has_hidden_state", "annotated_by", "linked_to_midi", "unheard_of")], "bundle_id string, edge_type string, source string, target string")
+    assert sorted(r.relation for r in provview.relations(e).collect()) == ["prov:hadMember", "prov:wasDerivedFrom", "prov:wasInfluencedBy", "sse:hasHiddenState"]
+    assert [tuple(r) for r in provview.annotated(e).collect()] == [("b", "t", "producer")]
+
+
+def test_semantic_roles(spark):
+    rows = spark.createDataFrame([("audio", " Vocals"), ("audio", "Lead  Gtr!"), ("audio", "!!"), ("audio", ""), ("audio", None), ("group", "Bass"), ("return", None)], "kind string, role string")
+    got = [r[0] for r in rows.select(normalize.semantic_role(F.col("kind"), F.col("role"))).collect()]
+    assert got == ["vocal_source", "lead_gtr", "unnamed", None, None, "submix", "effect_return"]
