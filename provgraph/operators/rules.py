@@ -24,64 +24,90 @@ def finding(rows: DataFrame, severity: str, confidence: float, subject: Column)
     return rows.select("bundle_id", F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), subject.cast("string").alias("subject"))
 
 
+# The contract's families of ambience processors, and name parts of de-essers and limiters.
+AMBIENCE = ("Ambience",)
+DEESSERS = ("de-esser", "deesser", "de esser", "sibilance")
+LIMITERS = ("limiter", "maximizer", "brickwall")
+
+# Bounds of the rules on long chains and on faders.
+DENSE_CHAIN, LEVEL_SPREAD_DB = 6, 12.0
+
+#: Roles of channels that no regular track has.
+SHARED_ROLES = ("effect_return", "main_output")
+
+
 def _processed(t: dict[str, DataFrame]) -> DataFrame:
-    """(bundle_id, channel, x, family, name): a channel with each of its processors."""
+    """(bundle_id, channel, family, name): a channel with each of its processors, the name in small letters."""
     runs = t["relationships"].where("rel_type = 'CHANNEL_PROCESSED_BY'").select("bundle_id", F.col("source").alias("channel"), F.col("target").alias("x"))
-    return runs.join(t["entities"].where("entity_type = 'PROCESSOR'").select("bundle_id", F.col("id").alias("x"), F.lower("family").alias("family"), F.lower("name").alias("name")), ["bundle_id", "x"])
+    processors = t["entities"].where("entity_type = 'PROCESSOR'").select("bundle_id", F.col("id").alias("x"), "family", F.lower("name").alias("name"))
+    return runs.join(processors, ["bundle_id", "x"]).drop("x")
 
 
 def _channels(t: dict[str, DataFrame], role: str) -> DataFrame:
+    """(bundle_id, id, channel): tracks of a role with their channels."""
     used = t["relationships"].where("rel_type = 'TRACK_USES_CHANNEL'").select("bundle_id", F.col("source").alias("id"), F.col("target").alias("channel"))
-    return t["entities"].where(F.col("role") == role).join(used, ["bundle_id", "id"])
-
+    return t["entities"].where((F.col("entity_type") == "TRACK") & (F.col("role") == role)).select("bundle_id", "id").join(used, ["bundle_id", "id"])
 
-def shared_family(family: str, least: int = 2) -> Callable:
-    """Several channels carry one family, and at least as many of them send nowhere."""
 
-    def find(t: dict[str, DataFrame]) -> DataFrame:
-        rows = _processed(t).where(F.col("family") == family).select("bundle_id", "channel").distinct()
-        sends = t["relationships"].where("rel_type = 'CHANNEL_SENDS_TO'").select("bundle_id", F.col("source").alias("channel")).distinct().withColumn("sends", F.lit(True))
-        counts = rows.join(sends, ["bundle_id", "channel"], "left").groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("sends").isNull()).alias("alone"))
-        return finding(counts.where((F.col("n") >= least) & (F.col("alone") >= least)), "suggestion", 0.6, F.col("n"))
+def _ends(t: dict[str, DataFrame], end: str) -> DataFrame:
+    """(bundle_id, channel): channels at one end of a send or route."""
+    return t["relationships"].where("rel_type in ('CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO')").select("bundle_id", F.col(end).alias("channel")).distinct()
 
-    return find
 
+def _named(parts: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x | y, (F.col("name").contains(part) for part in parts))
 
-def idle_returns(t: dict[str, DataFrame]) -> DataFrame:
-    """Returns that nothing is sent to."""
-    sent = t["relationships"].where("rel_type = 'CHANNEL_SENDS_TO'").select("bundle_id", F.col("target").alias("id"))
-    return finding(t["entities"].where("role = 'effect_return'").join(sent, ["bundle_id", "id"], "left_anti"), "warning", 0.7, F.col("id"))
 
+def shared_ambience(t: dict[str, DataFrame]) -> DataFrame:
+    """Two or more regular channels carry ambience processors, and two or more of them feed nothing; subject: how many those are."""
+    shared = t["entities"].where(F.col("role").isin(*SHARED_ROLES)).select("bundle_id", F.col("id").alias("channel"))
+    carriers = _processed(t).where(F.col("family").isin(*AMBIENCE)).select("bundle_id", "channel").distinct().join(shared, ["bundle_id", "channel"], "left_anti")
+    counts = carriers.join(_ends(t, "source"), ["bundle_id", "channel"], "left_anti").groupBy("bundle_id").agg(F.count(F.lit(1)).alias("n"))
+    return finding(counts.where("n >= 2"), "suggestion", 0.7, F.col("n"))
 
-def missing_processor(role: str, pattern: str) -> Callable:
-    """Tracks of a role whose channel has no processor of a name."""
 
-    def find(t: dict[str, DataFrame]) -> DataFrame:
-        have = _processed(t).where(F.col("name").rlike(pattern)).select("bundle_id", "channel")
-        return finding(_channels(t, role).join(have, ["bundle_id", "channel"], "left_anti"), "info", 0.5, F.col("id"))
+def unused_returns(t: dict[str, DataFrame]) -> DataFrame:
+    """Returns and channels of bus tracks that carry processors though nothing feeds them; a row for each."""
+    buses = t["entities"].where("role = 'effect_return'").select("bundle_id", F.col("id").alias("channel")).unionByName(_channels(t, "submix").drop("id"))
+    busy = _processed(t).select("bundle_id", "channel")
+    unused = buses.distinct().join(busy, ["bundle_id", "channel"], "left_semi").join(_ends(t, "target"), ["bundle_id", "channel"], "left_anti")
+    return finding(unused, "info", 0.8, F.col("channel"))
 
-    return find
 
+def vocal_corrective_chain(t: dict[str, DataFrame]) -> DataFrame:
+    """Vocal tracks whose channel has processors, none of which is named like a de-esser."""
+    chains = _processed(t).groupBy("bundle_id", "channel").agg(F.coalesce(F.bool_or(_named(DEESSERS)), F.lit(False)).alias("has"))
+    return finding(_channels(t, "vocal_source").join(chains.where("not has"), ["bundle_id", "channel"]), "suggestion", 0.55, F.col("id"))
 
-def dense_chains(most: int = 6) -> Callable:
-    def find(t: dict[str, DataFrame]) -> DataFrame:
-        rows = t["relationships"].where("rel_type = 'CHANNEL_PROCESSED_BY'").groupBy("bundle_id", "source").agg(F.count(F.lit(1)).alias("n"))
-        return finding(rows.where(F.col("n") > most), "info", 0.5, F.col("source"))
 
-    return find
+def dense_chain(t: dict[str, DataFrame]) -> DataFrame:
+    """Channels with more than DENSE_CHAIN processors."""
+    rows = t["relationships"].where("rel_type = 'CHANNEL_PROCESSED_BY'").groupBy("bundle_id", "source").agg(F.count(F.lit(1)).alias("n"))
+    return finding(rows.where(F.col("n") > DENSE_CHAIN), "info", 0.6, F.col("source"))
 
 
-def spread(column: str, least: float) -> Callable:
-    """Snapshots whose parameter values lie further apart than a bound."""
+def level_imbalance(t: dict[str, DataFrame]) -> DataFrame:
+    """Faders (bundle_id, id, volume_db) of two regular tracks lie further apart than LEVEL_SPREAD_DB; subject: the loudest, ties to the smaller id."""
+    known = t["faders"].where("volume_db is not null").groupBy("bundle_id")
+    rows = known.agg((F.max("volume_db") - F.min("volume_db")).alias("spread"), F.min_by("id", F.struct(-F.col("volume_db"), "id")).alias("id"))
+    return finding(rows.where(F.col("spread") > LEVEL_SPREAD_DB), "suggestion", 0.5, F.col("id"))
 
-    def find(t: dict[str, DataFrame]) -> DataFrame:
-        rows = t["entities"].where(F.col(column).isNotNull()).groupBy("bundle_id").agg((F.max(column) - F.min(column)).alias("spread"))
-        return finding(rows.where(F.col("spread") > least), "info", 0.4, F.lit(column))
 
-    return find
+def master_limiter_context(t: dict[str, DataFrame]) -> DataFrame:
+    """Masters with a limiter in snapshots that loudness (bundle_id) doesn't name as measured."""
+    masters = t["entities"].where("role = 'main_output'").select("bundle_id", F.col("id").alias("channel"))
+    limited = masters.join(_processed(t).where(_named(LIMITERS)).select("bundle_id", "channel"), ["bundle_id", "channel"], "left_semi")
+    return finding(limited.join(t["loudness"].select("bundle_id"), "bundle_id", "left_anti"), "info", 0.6, F.col("channel"))
 
 
-DEFAULT = (Rule("shared_ambience", shared_family("promo"), ("processors",)), Rule("idle_return", idle_returns, ("routes",)), Rule("no_de_esser", missing_processor("vocal_source", "de-?ess"), ("processors",)), Rule("dense_chain", dense_chains(), ("processors",)), Rule("wide_spread", spread("value", 48.0), ("parameters",)))
+#: Rules on entities and relationships alone, and those that read faders or loudness besides. The fields they require are the contract's.
+DEFAULT = (
+    Rule("core.shared_ambience", shared_ambience, ("plugin_chain", "bus_routing")),
+    Rule("core.unused_returns", unused_returns, ("plugin_chain", "bus_routing")),
+    Rule("core.vocal_corrective_chain", vocal_corrective_chain, ("plugin_chain",)),
+    Rule("core.dense_chain", dense_chain, ("plugin_chain",)),
+)
+MIXER = (Rule("core.level_imbalance", level_imbalance, ("mixer_state",)), Rule("core.master_limiter_context", master_limiter_context, ("plugin_chain",)))
 
 
 def run(rules: tuple[Rule, ...], tables: dict[str, DataFrame], hidden: DataFrame | None = None) -> DataFrame:

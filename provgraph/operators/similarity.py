@@ -7,14 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# The contract's counts of tracks by role and of processors by family, and the counts that are compared.
+ROLES = {"n_vocal_tracks": "Vocal", "n_drum_tracks": "Drums", "n_bass_tracks": "Bass", "n_guitar_tracks": "Guitar", "n_keys_tracks": "Keys", "n_bus_tracks": "Bus"}
+FAMILIES = {"n_ambience_fx": "Ambience", "n_dynamics_fx": "Dynamics", "n_eq_fx": "EQ"}
+COMPARED = ("n_tracks", "n_vocal_tracks", "n_drum_tracks", "n_bass_tracks", "n_fx", "n_ambience_fx", "n_dynamics_fx", "n_eq_fx", "n_routes", "avg_fx_per_track")
+
+
 def fingerprint(entities: DataFrame, relationships: DataFrame) -> DataFrame:
-    """(bundle_id, tracks, channels, returns, processors, routes, chain): counts, and processors a channel to three places."""
-    n = lambda cond: F.count_if(cond)
-    e = entities.groupBy("bundle_id").agg(
-        n(F.col("entity_type") == "TRACK").alias("tracks"), n(F.col("entity_type") == "CHANNEL").alias("channels"), n(F.col("role") == "effect_return").alias("returns"), n(F.col("entity_type") == "PROCESSOR").alias("processors"))
-    r = relationships.groupBy("bundle_id").agg(n(F.col("rel_type").isin("CHANNEL_SENDS_TO", "CHANNEL_ROUTES_TO")).alias("routes"))
-    out = e.join(r, "bundle_id", "left").fillna(0)
-    return out.withColumn("chain", F.when(F.col("channels") > 0, F.bround(F.col("processors") / F.col("channels"), 3)).otherwise(0.0))
+    """(bundle_id, 13 counts): tracks and tracks by role, processors and processors by family, sends and routes, processors a track to three places."""
+    track, fx = F.col("entity_type") == "TRACK", F.col("entity_type") == "PROCESSOR"
+    counts = {"n_tracks": track, **{c: track & (F.col("role") == r) for c, r in ROLES.items()}, "n_fx": fx, **{c: fx & (F.col("family") == f) for c, f in FAMILIES.items()}}
+    e = entities.groupBy("bundle_id").agg(*(F.count_if(when).alias(c) for c, when in counts.items()))
+    r = relationships.groupBy("bundle_id").agg(F.count_if(F.col("rel_type").isin("CHANNEL_SENDS_TO", "CHANNEL_ROUTES_TO")).alias("n_routes"))
+    out = e.join(r, "bundle_id", "left").fillna(0, ["n_routes"])
+    return out.withColumn("avg_fx_per_track", F.when(F.col("n_tracks") > 0, F.bround(F.col("n_fx") / F.col("n_tracks"), 3)).otherwise(0.0))
+
+
+def structure() -> Column:
+    """The compared counts of a fingerprint as a vector for cosine."""
+    return F.array(*(F.col(c).cast("double") for c in COMPARED))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -214,10 +214,12 @@ base AS (SELECT e.bundle_id, e.id, e.name, e.entity_type AS primary_type, e.role
 sends AS (SELECT DISTINCT bundle_id, source, target FROM relationships WHERE rel_type = 'CHANNEL_SENDS_TO'),
 mains AS (SELECT DISTINCT r.bundle_id, r.source FROM relationships r JOIN entities e ON r.bundle_id = e.bundle_id AND r.target = e.id WHERE e.role = 'main_output' AND r.rel_type IN ('CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO')),
 fams AS (SELECT r.bundle_id, r.source AS channel, list_sort(list(DISTINCT CASE WHEN lower(e.family) IN ('ambience', 'reverb', 'delay', 'echo') THEN 'reverb' ELSE lower(e.family) END)) AS buckets FROM relationships r JOIN entities e ON r.bundle_id = e.bundle_id AND r.target = e.id WHERE r.rel_type = 'CHANNEL_PROCESSED_BY' GROUP BY ALL),
-strips AS (SELECT b.bundle_id, b.id, b.name, b.primary_type, b.role, b.channel IS NOT NULL AS has_channel, coalesce(f.buckets, []) AS buckets,
-  EXISTS (SELECT 1 FROM sends s WHERE s.bundle_id = b.bundle_id AND s.target = b.channel) AS receives, EXISTS (SELECT 1 FROM sends s WHERE s.bundle_id = b.bundle_id AND s.source = b.channel) AS sends, EXISTS (SELECT 1 FROM mains s WHERE s.bundle_id = b.bundle_id AND s.source = b.channel) AS routes_main,
-  CASE WHEN role = 'effect_return' THEN 'effect_return' WHEN role IN ('main_output', 'submix') THEN role WHEN role LIKE '%_source' THEN 'audio_source' WHEN primary_type = 'TRACK' THEN 'track' ELSE 'channel' END AS concept
-  FROM base b LEFT JOIN fams f ON b.bundle_id = f.bundle_id AND b.channel = f.channel)"""
+marked AS (SELECT b.bundle_id, b.id, b.name, b.primary_type, b.role, b.channel IS NOT NULL AS has_channel, coalesce(f.buckets, []) AS buckets,
+  EXISTS (SELECT 1 FROM sends s WHERE s.bundle_id = b.bundle_id AND s.target = b.channel) AS receives, EXISTS (SELECT 1 FROM sends s WHERE s.bundle_id = b.bundle_id AND s.source = b.channel) AS sends, EXISTS (SELECT 1 FROM mains s WHERE s.bundle_id = b.bundle_id AND s.source = b.channel) AS routes_main
+  FROM base b LEFT JOIN fams f ON b.bundle_id = f.bundle_id AND b.channel = f.channel),
+strips AS (SELECT *, role IS NOT DISTINCT FROM 'effect_return' OR NOT (receives AND list_contains(buckets, 'reverb') AND role IS DISTINCT FROM 'main_output') AS declared,
+  CASE WHEN role = 'effect_return' OR NOT declared THEN 'effect_return' WHEN role IN ('main_output', 'submix') THEN role WHEN role LIKE '%_source' THEN 'audio_source' WHEN primary_type = 'TRACK' THEN 'track' ELSE 'channel' END AS concept
+  FROM marked)"""
 
 
 def _strips(spark, sf_dir):
@@ -237,7 +239,7 @@ IDENTITY = f", tok AS (SELECT *, {TOKENS.format('name')} AS w FROM strips), own
 @query(with_clause("entities", "relationships") + STRIPS + IDENTITY + """,
 pairs AS (SELECT c_custkey AS pair_id, c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 2 = 0),
 both_ AS (SELECT p.pair_id, a.id AS source_id, b.id AS target_id, a.concept = b.concept AS same, CASE WHEN len(a.i) <= len(b.i) THEN a.i ELSE b.i END AS s, CASE WHEN len(a.i) <= len(b.i) THEN b.i ELSE a.i END AS g,
-  (CASE WHEN a.concept = b.concept THEN 0.45 ELSE 0 END)::DOUBLE AS c1, ((a.has_channel AND b.has_channel) OR a.primary_type = b.primary_type) AS c3, a.receives AND b.receives AS c4, a.sends AND b.sends AS c5, a.routes_main AND b.routes_main AS c6, list_has_any(a.buckets, b.buckets) AS c7
+  (CASE WHEN a.concept = b.concept AND a.declared AND b.declared THEN 0.45 WHEN a.concept = b.concept THEN 0.4 ELSE 0 END)::DOUBLE AS c1, ((a.has_channel AND b.has_channel) OR a.primary_type = b.primary_type) AS c3, a.receives AND b.receives AS c4, a.sends AND b.sends AS c5, a.routes_main AND b.routes_main AS c6, list_has_any(a.buckets, b.buckets) AS c7
   FROM pairs p JOIN idn a ON a.bundle_id = p.a JOIN idn b ON b.bundle_id = p.b),
 conf AS (SELECT *, CASE WHEN len(s) = 0 OR len(g) = 0 THEN 0 ELSE len(list_filter(s, lambda x: list_contains(g, x) OR list_contains(g, x || 's') OR (x LIKE '%s' AND list_contains(g, x[:-2])))) / len(s) END AS name FROM both_),
 sc AS (SELECT *, least(1.0, round(c1 + 0.3 * name + 0.1 * c3::INT + 0.1 * c4::INT + 0.05 * c5::INT + 0.1 * c6::INT + 0.15 * c7::INT, 9)) AS score, same::INT + (name >= 0.5)::INT + c3::INT + c4::INT + c5::INT + c6::INT + c7::INT AS reasons FROM conf),
@@ -348,11 +350,23 @@ def sanitize_pages(spark, sf_dir):
     return pages.select("page_id", sanitize.hash_asset(F.col("url")).alias("asset"), F.sha2(F.regexp_replace("html", r'/home/[^/\s"]+', sanitize.REDACTED), 256).alias("html_sha256"))
 
 
-@query(with_clause("entities", "relationships") + """, e AS (SELECT bundle_id, count(*) FILTER (entity_type = 'TRACK') AS tracks, count(*) FILTER (entity_type = 'CHANNEL') AS channels, count(*) FILTER (role = 'effect_return') AS returns, count(*) FILTER (entity_type = 'PROCESSOR') AS processors FROM entities GROUP BY 1),
-r AS (SELECT bundle_id, count(*) FILTER (rel_type IN ('CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO')) AS routes FROM relationships GROUP BY 1)
-SELECT e.*, coalesce(routes, 0) AS routes, round_even(CASE WHEN channels > 0 THEN processors / channels ELSE 0 END, 3)::DOUBLE AS chain FROM e LEFT JOIN r USING (bundle_id)""")
+# what a session calls the roles of a snapshot's tracks
+SESSION_ROLES = "CASE role WHEN 'vocal_source' THEN 'Vocal' WHEN 'submix' THEN 'Bus' ELSE role END"
+
+
+@query(with_clause("entities", "relationships") + f""", s AS (SELECT * REPLACE ({SESSION_ROLES} AS role) FROM entities),
+e AS (SELECT bundle_id, count(*) FILTER (entity_type = 'TRACK') AS n_tracks,
+  count(*) FILTER (entity_type = 'TRACK' AND role = 'Vocal') AS n_vocal_tracks, count(*) FILTER (entity_type = 'TRACK' AND role = 'Drums') AS n_drum_tracks,
+  count(*) FILTER (entity_type = 'TRACK' AND role = 'Bass') AS n_bass_tracks, count(*) FILTER (entity_type = 'TRACK' AND role = 'Guitar') AS n_guitar_tracks,
+  count(*) FILTER (entity_type = 'TRACK' AND role = 'Keys') AS n_keys_tracks, count(*) FILTER (entity_type = 'TRACK' AND role = 'Bus') AS n_bus_tracks,
+  count(*) FILTER (entity_type = 'PROCESSOR') AS n_fx, count(*) FILTER (entity_type = 'PROCESSOR' AND family = 'Ambience') AS n_ambience_fx,
+  count(*) FILTER (entity_type = 'PROCESSOR' AND family = 'Dynamics') AS n_dynamics_fx, count(*) FILTER (entity_type = 'PROCESSOR' AND family = 'EQ') AS n_eq_fx
+  FROM s GROUP BY 1),
+r AS (SELECT bundle_id, count(*) FILTER (rel_type IN ('CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO')) AS n_routes FROM relationships GROUP BY 1)
+SELECT e.*, coalesce(n_routes, 0) AS n_routes, round_even(CASE WHEN n_tracks > 0 THEN n_fx / n_tracks ELSE 0 END, 3)::DOUBLE AS avg_fx_per_track FROM e LEFT JOIN r USING (bundle_id)""")
 def fingerprints(spark, sf_dir):
-    return similarity.fingerprint(*tables(spark, sf_dir, "entities", "relationships"))
+    entities, relationships = tables(spark, sf_dir, "entities", "relationships")
+    return similarity.fingerprint(entities.withColumn("role", F.expr(SESSION_ROLES)), relationships)
 
 
 def _predictions(spark, sf_dir):
@@ -407,16 +421,37 @@ def signal_reconcile(spark, sf_dir):
     return out.select("mix_id", "n", F.round("gain", 6).alias("gain"), F.round("correlation", 6).alias("correlation"))
 
 
-@query(with_clause("entities", "relationships") + """, x AS (SELECT r.bundle_id, r.source AS channel, lower(e.family) AS family, lower(e.name) AS name FROM relationships r JOIN entities e ON r.bundle_id = e.bundle_id AND r.target = e.id WHERE r.rel_type = 'CHANNEL_PROCESSED_BY' AND e.entity_type = 'PROCESSOR'),
-a AS (SELECT bundle_id, channel, EXISTS (SELECT 1 FROM relationships s WHERE s.rel_type = 'CHANNEL_SENDS_TO' AND s.bundle_id = p.bundle_id AND s.source = p.channel) AS sends FROM (SELECT DISTINCT bundle_id, channel FROM x WHERE family = 'promo') p)
-SELECT bundle_id, 'suggestion' AS severity, count(*)::VARCHAR AS subject, 'shared_ambience' AS rule_id FROM a GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (NOT sends) >= 2
-UNION ALL SELECT bundle_id, 'warning', id, 'idle_return' FROM entities e WHERE role = 'effect_return' AND NOT EXISTS (SELECT 1 FROM relationships s WHERE s.rel_type = 'CHANNEL_SENDS_TO' AND s.bundle_id = e.bundle_id AND s.target = e.id)
-UNION ALL SELECT e.bundle_id, 'info', e.id, 'no_de_esser' FROM entities e JOIN relationships u ON u.rel_type = 'TRACK_USES_CHANNEL' AND u.bundle_id = e.bundle_id AND u.source = e.id WHERE e.role = 'vocal_source' AND NOT EXISTS (SELECT 1 FROM x WHERE x.bundle_id = e.bundle_id AND x.channel = u.target AND regexp_matches(x.name, 'de-?ess'))
-UNION ALL SELECT bundle_id, 'info', source, 'dense_chain' FROM relationships WHERE rel_type = 'CHANNEL_PROCESSED_BY' GROUP BY bundle_id, source HAVING count(*) > 6
-UNION ALL SELECT bundle_id, 'info', 'value', 'wide_spread' FROM entities WHERE value IS NOT NULL GROUP BY bundle_id HAVING max(value) - min(value) > 48""")
+@query(with_clause("entities", "relationships") + """,
+x AS (SELECT r.bundle_id, r.source AS channel, e.family, lower(e.name) AS name FROM relationships r
+  JOIN entities e ON r.bundle_id = e.bundle_id AND r.target = e.id WHERE r.rel_type = 'CHANNEL_PROCESSED_BY' AND e.entity_type = 'PROCESSOR'),
+feeds AS (SELECT DISTINCT bundle_id, source, target FROM relationships WHERE rel_type IN ('CHANNEL_SENDS_TO', 'CHANNEL_ROUTES_TO')),
+used AS (SELECT t.bundle_id, t.id, t.role, u.target AS channel FROM entities t
+  JOIN relationships u ON u.rel_type = 'TRACK_USES_CHANNEL' AND u.bundle_id = t.bundle_id AND u.source = t.id WHERE t.entity_type = 'TRACK'),
+shared AS (SELECT bundle_id, id FROM entities WHERE role IN ('effect_return', 'main_output')),
+carriers AS (SELECT DISTINCT x.bundle_id, x.channel FROM x
+  LEFT JOIN shared s ON s.bundle_id = x.bundle_id AND s.id = x.channel
+  LEFT JOIN feeds f ON f.bundle_id = x.bundle_id AND f.source = x.channel
+  WHERE x.family = 'Ambience' AND s.id IS NULL AND f.source IS NULL),
+buses AS (SELECT bundle_id, id AS channel FROM entities WHERE role = 'effect_return' UNION SELECT bundle_id, channel FROM used WHERE role = 'submix'),
+vocals AS (SELECT u.bundle_id, u.id, bool_or(x.name LIKE '%de-esser%' OR x.name LIKE '%deesser%' OR x.name LIKE '%de esser%' OR x.name LIKE '%sibilance%') AS has
+  FROM used u JOIN x ON x.bundle_id = u.bundle_id AND x.channel = u.channel WHERE u.role = 'vocal_source' GROUP BY ALL),
+faders AS (SELECT o_custkey AS bundle_id, 't' || CAST(o_orderkey AS STRING) AS id, CAST(o_orderkey % 17 AS DOUBLE) - 10 AS volume_db FROM orders)
+SELECT bundle_id, 'suggestion' AS severity, 0.7::DOUBLE AS confidence, count(*)::VARCHAR AS subject, 'core.shared_ambience' AS rule_id FROM carriers GROUP BY 1 HAVING count(*) >= 2
+UNION ALL SELECT DISTINCT b.bundle_id, 'info', 0.8, b.channel, 'core.unused_returns' FROM buses b JOIN x ON x.bundle_id = b.bundle_id AND x.channel = b.channel
+  LEFT JOIN feeds f ON f.bundle_id = b.bundle_id AND f.target = b.channel WHERE f.target IS NULL
+UNION ALL SELECT bundle_id, 'suggestion', 0.55, id, 'core.vocal_corrective_chain' FROM vocals WHERE NOT coalesce(has, false)
+UNION ALL SELECT bundle_id, 'info', 0.6, source, 'core.dense_chain' FROM relationships WHERE rel_type = 'CHANNEL_PROCESSED_BY' GROUP BY bundle_id, source HAVING count(*) > 6
+UNION ALL SELECT bundle_id, 'suggestion', 0.5, min(id) FILTER (volume_db = top), 'core.level_imbalance'
+  FROM (SELECT *, max(volume_db) OVER (PARTITION BY bundle_id) AS top FROM faders) GROUP BY bundle_id HAVING max(volume_db) - min(volume_db) > 12
+UNION ALL SELECT DISTINCT m.bundle_id, 'info', 0.6, m.id, 'core.master_limiter_context' FROM entities m JOIN x ON x.bundle_id = m.bundle_id AND x.channel = m.id
+  WHERE m.role = 'main_output' AND (x.name LIKE '%limiter%' OR x.name LIKE '%maximizer%' OR x.name LIKE '%brickwall%') AND m.bundle_id % 3 <> 0""")
 def rule_findings(spark, sf_dir):
-    entities, relationships = tables(spark, sf_dir, "entities", "relationships")
-    return rules.run(rules.DEFAULT, {"entities": entities, "relationships": relationships}).select("bundle_id", "severity", "subject", "rule_id")
+    entities, relationships, orders, customer = tables(spark, sf_dir, "entities", "relationships", "orders", "customer")
+    # the driver's tables hold no faders; levels follow the order keys, every third customer has a loudness measured
+    faders = orders.selectExpr("o_custkey AS bundle_id", "'t' || CAST(o_orderkey AS STRING) AS id", "CAST(o_orderkey % 17 AS DOUBLE) - 10 AS volume_db")
+    loudness = customer.where("c_custkey % 3 = 0").selectExpr("c_custkey AS bundle_id")
+    found = rules.run(rules.DEFAULT + rules.MIXER, {"entities": entities, "relationships": relationships, "faders": faders, "loudness": loudness})
+    return found.select("bundle_id", "severity", "confidence", "subject", "rule_id")
 
 
 @query("""WITH v(role, priority, keyword) AS (VALUES ('Bolt', 1, 'cold bolt'), ('Bolt', 2, 'bolts'), ('Plate', 3, 'plate'), ('Heat', 4, 'hot')),

@@ -43,7 +43,7 @@ SELECT r.bundle_id, 'r' || CAST(r.bundle_id AS STRING) || '-' || CAST(r.s_nation
 UNION ALL
 SELECT c_custkey, 'm' || CAST(c_custkey AS STRING), 'CHANNEL', 'Master', 'main_output', NULL, 'prov:0001', NULL, NULL FROM {customer}
 UNION ALL
-SELECT l.bundle_id, 'x' || CAST(l.l_orderkey AS STRING) || '-' || CAST(l.line_uid AS STRING), 'PROCESSOR', p.p_name, NULL, p.p_type, CASE l.l_returnflag WHEN 'A' THEN 'prov:0001' WHEN 'N' THEN 'prov:0002' ELSE 'prov:0004' END, NULL, NULL FROM {lines} l JOIN {part} p ON l.l_partkey = p.p_partkey
+SELECT l.bundle_id, 'x' || CAST(l.l_orderkey AS STRING) || '-' || CAST(l.line_uid AS STRING), 'PROCESSOR', p.p_name, NULL, CASE p.p_type WHEN 'PROMO' THEN 'Ambience' WHEN 'STANDARD' THEN 'Dynamics' WHEN 'SMALL' THEN 'EQ' ELSE p.p_type END, CASE l.l_returnflag WHEN 'A' THEN 'prov:0001' WHEN 'N' THEN 'prov:0002' ELSE 'prov:0004' END, NULL, NULL FROM {lines} l JOIN {part} p ON l.l_partkey = p.p_partkey
 UNION ALL
 SELECT l.bundle_id, 'v' || CAST(l.l_orderkey AS STRING) || '-' || CAST(l.line_uid AS STRING), 'PARAMETER', CASE WHEN l.l_partkey % 3 = 0 THEN 'Wet Mix' WHEN l.l_partkey % 3 = 1 THEN 'Delay Feedback' ELSE 'Width' END, NULL, NULL, 'prov:0001', l.l_quantity, l.l_discount FROM {lines} l""",
     "availability": """

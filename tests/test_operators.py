@@ -212,3 +212,17 @@ def test_semantic_roles(spark):
     rows = spark.createDataFrame([("audio", " Vocals"), ("audio", "Lead  Gtr!"), ("audio", "!!"), ("audio", ""), ("audio", None), ("group", "Bass"), ("return", None)], "kind string, role string")
     got = [r[0] for r in rows.select(normalize.semantic_role(F.col("kind"), F.col("role"))).collect()]
     assert got == ["vocal_source", "lead_gtr", "unnamed", None, None, "submix", "effect_return"]
+
+
+def test_rules_on_a_small_session(spark):
+    e = [("t1", "TRACK", None, None, "vocal_source"), ("t2", "TRACK", None, None, None), ("c1", "CHANNEL", None, None, None), ("c2", "CHANNEL", None, None, None), ("r", "CHANNEL", "Hall", None, "effect_return"),
+         ("m", "CHANNEL", "Master", None, "main_output"), ("x1", "PROCESSOR", "Plate", "Ambience", None), ("x2", "PROCESSOR", "Room", "Ambience", None), ("x3", "PROCESSOR", "Hall", "Ambience", None), ("x4", "PROCESSOR", "Brickwall 2", "Dynamics", None)]
+    entities = spark.createDataFrame([("b", *row) for row in e], "bundle_id string, id string, entity_type string, name string, family string, role string")
+    r = [("TRACK_USES_CHANNEL", "t1", "c1"), ("TRACK_USES_CHANNEL", "t2", "c2"), ("CHANNEL_PROCESSED_BY", "c1", "x1"), ("CHANNEL_PROCESSED_BY", "c2", "x2"), ("CHANNEL_PROCESSED_BY", "r", "x3"), ("CHANNEL_PROCESSED_BY", "m", "x4")]
+    relationships = spark.createDataFrame([("b", *row) for row in r], "bundle_id string, rel_type string, source string, target string")
+    faders = spark.createDataFrame([("b", "t2", 0.0), ("b", "t1", -12.5), ("b", "t3", None), ("c", "t1", 3.0), ("c", "t2", -9.0)], "bundle_id string, id string, volume_db double")
+    loudness = spark.createDataFrame([], "bundle_id string")
+    found = rules.run(rules.DEFAULT + rules.MIXER, {"entities": entities, "relationships": relationships, "faders": faders, "loudness": loudness}).collect()
+    assert {(x.bundle_id, x.rule_id, x.severity, x.confidence, x.subject) for x in found} == {
+        ("b", "core.shared_ambience", "suggestion", 0.7, "2"), ("b", "core.unused_returns", "info", 0.8, "r"), ("b", "core.vocal_corrective_chain", "suggestion", 0.55, "t1"),
+        ("b", "core.level_imbalance", "suggestion", 0.5, "t2"), ("b", "core.master_limiter_context", "info", 0.6, "m")}
