@@ -16,6 +16,9 @@ REGISTERED = [
     ("line_dedup", "op10_edit_join_lines", None),
     ("minhash_dedup", "op5_bagminhash", None),
     ("language_id", "op9_marginal_unigrams", None),
+    ("overlap_join", "op11_divide_skip", "OP11_SQL"),
+    ("source_audit", "op12_bitmap_divergence", "OP12_SQL"),
+    ("whitening", "op13_jacobi_davidson", None),
 ]
 
 
