@@ -46,11 +46,11 @@ PART, OF = 4, 5
 #: Shingles that a set shares for each further list that must be met.
 STEP = 32
 #: Shingles whose frequency is known to the order.
-COMMON = 131_072
+COMMON = 65_536
 #: Rounds of neighbours, sets of a list that are put in order together, sets of a chunk.
-ROUNDS, STRETCH, CHUNK = 4, 256, 4096
-#: Bytes of text handled together in a task; bits of a set's parity.
-SLICE, PARITY = 2_000_000, 1024
+ROUNDS, STRETCH, CHUNK = 3, 256, 4096
+#: Bytes of text handled together in a task, texts that a task remembers to have seen; bits of a set's parity.
+SLICE, SEEN, PARITY = 500_000, 200_000, 1024
 
 U = np.uint64
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -171,34 +171,45 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def keyed_rows(docs: DataFrame) -> DataFrame:
-    """docs (uid, doc_id, text) to (uid, doc_id, key, words): key is null for a text without words."""
+def first_seen(keys: list[bytes | None], seen: dict[bytes, int]) -> list[int]:
+    """Where keys stand that aren't among the seen ones, which they are from now on."""
+    new = []
+    for i, k in enumerate(keys):
+        if k is not None and k not in seen:
+            seen[k] = 0
+            new.append(i)
+    return new
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            words = [normal(t) for t in batch["text"]]
-            yield pd.DataFrame({"uid": batch["uid"], "doc_id": batch["doc_id"], "key": [hashlib.md5(w).digest() if w else None for w in words], "words": words})
 
-    return docs.mapInPandas(work, "uid long, doc_id string, key binary, words binary")
+def sets_of(docs: DataFrame) -> DataFrame:
+    """docs (uid, doc_id, text) to (uid, doc_id, key, n, shingles, parity), and a row of each task's frequent shingles, whose uid is null and whose parity their counts.
 
-
-def sets_of(texts: DataFrame) -> DataFrame:
-    """(node, key, words) to (node, key, n, shingles, parity), and a row of each task's frequent shingles, whose node is null and whose parity their counts."""
+    key is null for a text without words; a text of the same words as one before in its task has no shingles of its own.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent = Frequent()
+        frequent, seen = Frequent(), {}
         for batch in batches:
-            words, out = list(batch["words"]), []
-            for a, b in slices(words):
-                sets = shingle_sets(words[a:b])
+            words = [normal(t) for t in batch["text"]]
+            keys = [hashlib.md5(w).digest() if w else None for w in words]
+            if len(seen) > SEEN:
+                seen.clear()
+            new = first_seen(keys, seen)
+            found: dict[int, tuple] = {}
+            texts = [words[i] for i in new]
+            for a, b in slices(texts):
+                sets = shingle_sets(texts[a:b])
                 frequent.add(sets)
-                out += [(len(x), x.tobytes(), parity(x)) for x in sets]
-            yield batch[["node", "key"]].join(pd.DataFrame(out, columns=["n", "shingles", "parity"]))
+                for i, x in zip(new[a:b], sets, strict=True):
+                    seen[keys[i]] = len(x)
+                    found[i] = (len(x), x.tobytes(), parity(x))
+            out = [found.get(i) or (seen[k] if k is not None else 0, None, None) for i, k in enumerate(keys)]
+            yield batch[["uid", "doc_id"]].assign(key=keys).join(pd.DataFrame(out, columns=["n", "shingles", "parity"]))
         frequent.merge()
         several = frequent.counts > 1
-        yield pd.DataFrame({"node": pd.array([None], dtype="Int64"), "key": [None], "n": [0], "shingles": [frequent.keys[several].tobytes()], "parity": [frequent.counts[several]]})
+        yield pd.DataFrame({"uid": pd.array([None], dtype="Int64"), "doc_id": [None], "key": [None], "n": [0], "shingles": [frequent.keys[several].tobytes()], "parity": [frequent.counts[several]]})
 
-    return texts.mapInPandas(work, "node long, key binary, n long, shingles binary, parity array<long>")
+    return docs.mapInPandas(work, "uid long, doc_id string, key binary, n long, shingles binary, parity array<long>")
 
 
 def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -209,14 +220,14 @@ def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for keys, counts in zip(batch["shingles"], batch["parity"], strict=True):
                 yield pd.DataFrame({"shingle": np.frombuffer(keys, dtype=np.int64), "f": counts})
 
-    counts = sets.where("node is null").select("shingles", "parity").mapInPandas(work, "shingle long, f long").groupBy("shingle").agg(F.sum("f").alias("f"))
+    counts = sets.where("uid is null").select("shingles", "parity").mapInPandas(work, "shingle long, f long").groupBy("shingle").agg(F.sum("f").alias("f"))
     top = leading(counts, "f", COMMON).orderBy(F.desc("f"), "shingle").limit(COMMON).toPandas()
     top = top.assign(shingle=top["shingle"].to_numpy(np.int64).view(U)).sort_values("shingle")
     return top["shingle"].to_numpy(U), top["f"].to_numpy(np.int64)
 
 
 def postings(nodes: DataFrame, common: np.ndarray, count: np.ndarray) -> DataFrame:
-    """(token, node, n): the entries of short lists."""
+    """nodes (node, shingles) to (token, node): the entries of short lists."""
     known = nodes.sparkSession.sparkContext.broadcast((common, count))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -234,9 +245,9 @@ def postings(nodes: DataFrame, common: np.ndarray, count: np.ndarray) -> DataFra
                     h = rare if len(rare) >= k else h[np.lexsort((h, f))]
                 parts.append(h[:k])
             size = np.array([len(x) for x in parts], dtype=np.int64)
-            yield pd.DataFrame({"token": (np.concatenate(parts) if parts else np.zeros(0, dtype=U)).view(np.int64), "node": batch["node"].to_numpy().repeat(size), "n": batch["n"].to_numpy().repeat(size)})
+            yield pd.DataFrame({"token": (np.concatenate(parts) if parts else np.zeros(0, dtype=U)).view(np.int64), "node": batch["node"].to_numpy().repeat(size)})
 
-    return nodes.select("node", "n", "shingles").mapInPandas(work, "token long, node long, n long")
+    return nodes.select("node", "shingles").mapInPandas(work, "token long, node long")
 
 
 def fitting(n: str, m: str):
@@ -264,10 +275,11 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     bits = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(1, PARITY // 64)), F.bit_count(F.get("pa", F.lit(0)).bitwiseXOR(F.get("pb", F.lit(0)))))
     # sets that link differ in (n + m) - 2 T shingles at most
     near = near.where(fitting("na", "nb") & ((PART + OF) * bits <= (OF - PART) * (F.col("na") + F.col("nb")))).select("a", "b")
-    near = written(near, "near")
-    shingles = lambda x: nodes.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
+    near = sized(written(near, "near"))
+    # where pairs are few, only sets that they name are moved
+    shingles = lambda x: nodes.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")).join(near, x)
     with arrow_rows(pairs.sparkSession, 200):
-        return written(near.join(shingles("a"), "a").join(shingles("b"), "b").where(linked("sa", "sb")).select("a", "b"), "links")
+        return written(shingles("a").join(shingles("b"), ["a", "b"]).where(linked("sa", "sb")).select("a", "b"), "links")
 
 
 def still_open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -370,15 +382,18 @@ def overlap_classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
     own = docs.select((F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scope(spark):
         with arrow_rows(spark, 1000):
-            keyed = keyed_rows(own)
-            rows = written(keyed.drop("words"), "rows")
-            texts = keyed.where("key is not null").groupBy("key").agg(F.first("words").alias("words")).select(F.monotonically_increasing_id().alias("node"), "key", "words")
-            sets = written(sets_of(texts), "sets")
-        nodes = sets.where("node is not null")
+            sets = written(sets_of(own), "sets")
+        # a set is known by the first row that has it; other tasks may have made it, too
+        made = sets.where("uid is not null and shingles is not null")
+        reps = written(made.groupBy("key").agg(F.min("uid").alias("node")), "reps")
+        nodes = made.withColumnRenamed("uid", "node")
         with arrow_rows(spark, 1000):
             entries = postings(nodes, *common_shingles(sets))
-            shared = entries.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
-            lists = written(entries.join(sized(written(shared, "shared")), "token", "left_semi"), "lists")
+            shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("token")
+            lists = written(entries.join(sized(written(shared, "shared")), "token", "left_semi"), "entries")
+        again = written(made.select(F.col("uid").alias("node"), "key").join(reps.withColumnRenamed("node", "rep"), "key").where("node <> rep").select("node", "rep"), "again")
+        lists = lists.join(sized(again), "node", "left").select("token", F.coalesce("rep", "node").alias("node")).distinct()
+        lists = written(lists.join(nodes.select("node", "n"), "node"), "lists")
         links, roots = None, None
         for turn in range(ROUNDS):
             found = verified(neighbours(still_open(lists, roots), turn), nodes)
@@ -389,9 +404,9 @@ def overlap_classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
         found = verified(searched(still_open(lists, roots)), nodes)
         if not found.isEmpty():
             roots = components(spark, found if links is None else links.union(found).distinct())
-        rows = rows.join(nodes.select("key", "node", "n"), "key", "left")
+        rows = sets.where("uid is not null").select("uid", "doc_id", "key", "n").join(reps, "key", "left")
         rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rows = written(rows.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), "root"), "classed", result=True)
+        rows = written(rows.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), "root"), "classed", result=True)
         least = written(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least", result=True)
     out = rows.join(least, "root", "left")
     return out.select("uid", "doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

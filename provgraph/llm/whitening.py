@@ -73,7 +73,7 @@ class Fit:
 
     @property
     def mean(self) -> np.ndarray:
-        return np.array([float(s) / self.n for s in self.sums])
+        return np.array([float(s) / max(self.n, 1) for s in self.sums])
 
 
 def fit_of(rows: DataFrame, d: int) -> Fit:
