@@ -2,18 +2,18 @@
 
 A text is a set of five-word shingles. Two sets of n and m shingles link when they share at least
 T(n, m) = ceil(threshold (n + m) / (1 + threshold)). All sets have one order of shingles, rare ones first. As
-in DivideSkip, a set's lists (a list: the sets that have a shingle) are divided: those of its s(n) = n -
-ceil(threshold n) + need(n) rarest shingles are the short ones, the others the long ones. Sets that link
-share at least min(need) of their short lists, whatever the order is. A query's short lists are merged by
+in DivideSkip, a set's lists (a list: the sets that have a shingle) are divided: those of its rarest
+shingles, some more than n - ceil(threshold n), are the short ones, the other L the long ones. Sets that
+link share at least T - L of their short lists, whatever the order is. A query's short lists are merged by
 a heap that skips what can't occur often enough; what occurs often enough is looked up in the long lists
 by binary search: a set stands in a shingle's list if the shingle stands in the sorted set. So long lists
 are never built, and a shingle that half of all texts share costs nothing but its lookup.
 
 The order is set by how often shingles occur, by a mergeable summary of frequent items over all sets;
-what it doesn't hold counts as rare. Texts of the same words are one set. First come rounds in
-which each set is compared with at most one other, its neighbour in most of its lists in a random order
-of sets: their work grows with the rows, however long a list is, and links most of what belongs together.
-Then all that is left is searched: lists whose sets are all in one component can't add anything; in the
+what it doesn't hold counts as rare. Texts of the same words are one set. Lists of more than STRETCH sets
+first go through rounds in which each set is compared with at most one other, its neighbour in most of
+these lists in a random order of sets: their work grows with the rows, however long a list is, and links
+most of what belongs together. Then all that is left is searched: lists whose sets are all in one component can't add anything; in the
 others, every set queries the sets of larger components, in chunks of CHUNK sets, so that a component of
 any size is only read, and no pair of sets of one component is ever formed.
 
@@ -48,7 +48,7 @@ STEP = 32
 #: Shingles whose frequency is known to the order.
 COMMON = 65_536
 #: Rounds of neighbours, sets of a list that are put in order together, sets of a chunk.
-ROUNDS, STRETCH, CHUNK = 3, 256, 4096
+ROUNDS, STRETCH, CHUNK = 3, 256, 65_536
 #: Bytes of text handled together in a task, texts that a task remembers to have seen; bits of a set's parity.
 SLICE, SEEN, PARITY = 500_000, 200_000, 1024
 
@@ -77,14 +77,15 @@ def least_shared(n: np.ndarray | int, m: np.ndarray | int):
     return -((-PART * (n + m)) // (PART + OF))
 
 
-def need(n: np.ndarray | int):
-    """How many short lists two sets that link share, the smaller one being of n shingles."""
-    return 1 - (-PART * n // OF) // STEP
+def short(n: np.ndarray | int):
+    """How many of a set's lists are short ones: with one more, sets that link could miss each other."""
+    least = -(-PART * n // OF)
+    return np.minimum(n, n - least + 1 + least // STEP)
 
 
-def short(n: np.ndarray | int):
-    """How many of a set's lists are short ones."""
-    return np.minimum(n, n - -(-PART * n // OF) + need(n))
+def need(n: np.ndarray | int, m: np.ndarray | int):
+    """How many short lists two sets that link share: T - L, the longer rest being L long lists."""
+    return np.maximum(1, least_shared(n, m) - np.maximum(n - short(n), m - short(m)))
 
 
 class Powers:
@@ -290,15 +291,20 @@ def still_open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def neighbours(entries: DataFrame, turn: int) -> DataFrame:
-    """(a, b): for each set the one of another component that it stands next to in most lists, in a random order of all sets."""
+    """(a, b): for each set of a long list the one of another component that it stands next to in most of them, in a random order of all sets."""
     size = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > STRETCH)
-    rows = entries.join(sized(written(size, "long")), "token", "left")
-    stretch = F.pmod(F.xxhash64("node", F.lit(turn)), F.coalesce(F.ceil(F.col("size") / STRETCH), F.lit(1)).cast("long"))
+    rows = entries.join(sized(written(size, "long")), "token")
+    stretch = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("size") / STRETCH).cast("long"))
     order = Window.partitionBy("token", "stretch").orderBy("place", "node")
     rows = rows.select("token", "node", "n", "root", stretch.alias("stretch"), F.xxhash64(F.lit(turn), "node").alias("place"))
     rows = rows.withColumn("b", F.lag("node").over(order)).withColumn("m", F.lag("n").over(order)).withColumn("other", F.lag("root").over(order))
     met = rows.where(F.col("b").isNotNull() & (F.col("root") != F.col("other")) & fitting("n", "m")).groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("lists"))
-    return met.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
+    return best(met, "lists")
+
+
+def best(pairs: DataFrame, score: str) -> DataFrame:
+    """(a, b): of each a's partners the one with the highest score."""
+    return pairs.groupBy("a").agg(F.max_by("b", F.struct(score, "b")).alias("b"))
 
 
 def t_occurrence(lists: list[list[int]], least: int) -> dict[int, int]:
@@ -328,52 +334,49 @@ def t_occurrence(lists: list[list[int]], least: int) -> dict[int, int]:
 
 
 def searched(entries: DataFrame) -> DataFrame:
-    """(a, b): pairs of sets of different components that share enough short lists to be looked up in the long ones."""
+    """(a, b, hits): pairs of sets of different components that share enough short lists to be looked up in the long ones."""
     whole = entries.select("node", "root").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     rows = written(entries.join(sized(written(whole, "sizes")), "root"), "ranked")
     chunks = max(1, -(-rows.select("node").distinct().count() // CHUNK))
     chunk = F.pmod(F.xxhash64("node"), F.lit(chunks))
-    entry = F.struct("node", "n", "size", "root")
-    lists = rows.groupBy("token", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(entry)).alias("list"), F.max(F.struct("size", "root")).alias("top"))
+    lists = rows.groupBy("token", chunk.alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("node", "n", "size", "root"))).alias("list"), F.max(F.struct("size", "root")).alias("top"))
     asked = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("size").alias("own_size"), F.col("root").alias("own_root")).join(lists, "token")
-    asked = asked.where(F.struct(F.col("own_size").alias("size"), F.col("own_root").alias("root")) < F.col("top")).drop("top", "token")
+    asked = asked.where(F.struct(F.col("own_size").alias("size"), F.col("own_root").alias("root")) < F.col("top"))
+    larger = lambda x: (x["size"] > F.col("own_size")) | ((x["size"] == F.col("own_size")) & (x["root"] > F.col("own_root")))
+    fits = lambda x: (OF * x["n"] >= PART * F.col("na")) & (OF * F.col("na") >= PART * x["n"])
+    asked = asked.select("a", "chunk", "na", F.transform(F.filter("list", lambda x: larger(x) & fits(x)), lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"))).alias("list")).where(F.size("list") > 0)
 
-    def merge(a: int, n: int, lists: list[np.ndarray], sizes: dict[int, int]) -> tuple[list[int], list[int]]:
-        # a partner may be smaller, so that the fewest lists that any must be met in are those of the smallest possible
-        hits = t_occurrence([x.tolist() for x in lists], int(need(-(-PART * n // OF))))
-        b = [x for x, k in hits.items() if k >= need(min(n, sizes[x]))]
-        return [a] * len(b), b
+    def merge(key: tuple[int, int, int], lists: list[np.ndarray], sizes: dict[int, int]) -> list[tuple[int, int, int]]:
+        a, _, n = key
+        # the fewest lists that any partner must be met in are those of the smallest or the largest possible one
+        least = int(min(need(n, -(-PART * n // OF)), need(n, OF * n // PART)))
+        return [(a, b, k) for b, k in t_occurrence([x.tolist() for x in lists], least).items() if k >= need(n, sizes[b])]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lists, sizes = None, [], {}
+
+        def batch_of(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["a", "b", "hits"])
+
         for batch in batches:
-            c = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ("a", "chunk", "na", "own_size", "own_root")}
-            col = batch.column("list")
-            length = np.diff(col.offsets.to_numpy())
-            row = np.repeat(np.arange(len(length)), length)
-            flat = dict(zip(("node", "n", "size", "root"), (x.to_numpy(zero_copy_only=False) for x in col.flatten().flatten()), strict=True))
-            larger = (flat["size"] > c["own_size"][row]) | ((flat["size"] == c["own_size"][row]) & (flat["root"] > c["own_root"][row]))
-            keep = larger & (OF * flat["n"] >= PART * c["na"][row]) & (OF * c["na"][row] >= PART * flat["n"])
-            node, size, row = flat["node"][keep], flat["n"][keep], row[keep]
-            cut, left, right = np.searchsorted(row, np.arange(len(length) + 1)), [], []
-            for i in range(len(length)):
-                here = (int(c["a"][i]), int(c["chunk"][i]), int(c["na"][i]))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("a", "chunk", "na")), strict=True))
+            column = batch.column("list")
+            cut = column.offsets.to_numpy() - column.offsets[0].as_py()
+            node, size = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
+            out = []
+            for i, here in enumerate(keys):
                 if here != key:
-                    if lists:
-                        x, y = merge(key[0], key[2], lists, sizes)
-                        left, right = left + x, right + y
+                    out += merge(key, lists, sizes) if lists else []
                     key, lists, sizes = here, [], {}
-                if cut[i + 1] > cut[i]:
-                    part = slice(cut[i], cut[i + 1])
-                    lists.append(node[part])
-                    sizes.update(zip(node[part].tolist(), size[part].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                part = slice(cut[i], cut[i + 1])
+                lists.append(node[part])
+                sizes.update(zip(node[part].tolist(), size[part].tolist(), strict=True))
+            yield batch_of(out)
         if lists:
-            x, y = merge(key[0], key[2], lists, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+            yield batch_of(merge(key, lists, sizes))
 
     with arrow_rows(entries.sparkSession, 256):
-        return written(asked.repartition("a", "chunk").sortWithinPartitions("a", "chunk").mapInArrow(work, "a long, b long"), "candidates")
+        return written(asked.repartition("a", "chunk").sortWithinPartitions("a", "chunk").mapInArrow(work, "a long, b long, hits long"), "candidates")
 
 
 def overlap_classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
@@ -395,15 +398,27 @@ def overlap_classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
         lists = lists.join(sized(again), "node", "left").select("token", F.coalesce("rep", "node").alias("node")).distinct()
         lists = written(lists.join(nodes.select("node", "n"), "node"), "lists")
         links, roots = None, None
-        for turn in range(ROUNDS):
-            found = verified(neighbours(still_open(lists, roots), turn), nodes)
+
+        def add(pairs: DataFrame) -> bool:
+            """Verifies pairs; whether they held links."""
+            nonlocal links, roots
+            found = verified(pairs, nodes)
             if found.isEmpty():
-                break
-            links = found if links is None else written(links.union(found).distinct(), "all-links")
+                return False
+            links = found if links is None else written(links.union(found), "all-links")
             roots = components(spark, links)
-        found = verified(searched(still_open(lists, roots)), nodes)
-        if not found.isEmpty():
-            roots = components(spark, found if links is None else links.union(found).distinct())
+            return True
+
+        for turn in range(ROUNDS):
+            if not add(neighbours(still_open(lists, roots), turn)):
+                break
+        pairs = searched(still_open(lists, roots))
+        # most pairs of a class need no look once each set's best partner was looked at
+        if add(best(pairs, "hits")):
+            at = lambda x: sized(roots).select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+            pairs = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left")
+            pairs = pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        add(pairs.select("a", "b"))
         rows = sets.where("uid is not null").select("uid", "doc_id", "key", "n").join(reps, "key", "left")
         rows = rows.withColumn("root", F.col("node")) if roots is None else rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rows = written(rows.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), "root"), "classed", result=True)

@@ -61,7 +61,9 @@ def odd(edges):
     return docs + [(7000, docs[-1][1]), (None, docs[20][1])]
 
 
-def test_shingle_join_equals_brute_force(frame, odd):
+@pytest.mark.parametrize("stretch", [256, 4])
+def test_shingle_join_equals_brute_force(frame, odd, monkeypatch, stretch):
+    monkeypatch.setattr(overlap_join, "STRETCH", stretch)
     got = overlap_join.overlap_classes(frame(odd))
     want = Counter(classes(odd))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
@@ -70,6 +72,7 @@ def test_shingle_join_equals_brute_force(frame, odd):
 def test_shingle_join_search_alone_equals_brute_force(frame, odd, monkeypatch):
     """Without rounds of neighbours every link comes from the merged lists."""
     monkeypatch.setattr(overlap_join, "ROUNDS", 0)
+    monkeypatch.setattr(overlap_join, "STRETCH", 4)
     monkeypatch.setattr(overlap_join, "CHUNK", 16)
     monkeypatch.setattr(overlap_join, "STEP", 8)
     monkeypatch.setattr(overlap_join, "COMMON", 64)
@@ -109,6 +112,22 @@ def test_merge_skip_equals_counting(least):
         assert overlap_join.t_occurrence(lists, least) == {k: v for k, v in count.items() if v >= least}
 
 
+def test_short_lists_suffice():
+    """Sets that link share need(n, m) of their short lists, in any order."""
+    rng = random.Random(1)
+    for _ in range(3000):
+        n = rng.randrange(1, 120)
+        m = rng.randrange(max(1, -(-4 * n // 5)), 5 * n // 4 + 1)
+        both = int(overlap_join.least_shared(n, m))
+        if both > min(n, m):
+            continue
+        order = list(range(n + m - both))
+        rng.shuffle(order)
+        a, b = set(order[:n]), set(order[n - both :])
+        head = lambda x: set(sorted(x)[: int(overlap_join.short(len(x)))])
+        assert len(a & b) == both and len(head(a) & head(b)) >= overlap_join.need(n, m)
+
+
 def test_frequent_shingles_are_bounded_and_found(monkeypatch):
     monkeypatch.setattr(overlap_join, "COMMON", 50)
     rng, kept = np.random.default_rng(1), overlap_join.Frequent()
