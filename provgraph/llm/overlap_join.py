@@ -10,10 +10,9 @@ by binary search: a set stands in a shingle's list if the shingle stands in the
 are never built, and a shingle that half of all texts share costs nothing but its lookup.
 
 The order is set by how often shingles occur, by a mergeable summary of frequent items over all sets;
-what it doesn't hold counts as rare. Texts of the same words are one set. Lists of more than STRETCH sets
-first go through rounds in which each set is compared with at most one other, its neighbour in most of
-these lists in a random order of sets: their work grows with the rows, however long a list is, and links
-most of what belongs together. Then all that is left is searched: lists whose sets are all in one component can't add anything; in the
+what it doesn't hold counts as rare. Texts of the same words are one set. The sets of lists of more than
+LONG sets are first compared with the few hubs of these lists, the sets that most of them have: their
+number grows with the rows, however long a list is, and links most of what belongs together. Then all that is left is searched: lists whose sets are all in one component can't add anything; in the
 others, every set queries the sets of larger components, in chunks of CHUNK sets, so that a component of
 any size is only read, and no pair of sets of one component is ever formed.
 
@@ -46,11 +45,11 @@ PART, OF = 4, 5
 #: Shingles that a set shares for each further list that must be met.
 STEP = 32
 #: Shingles whose frequency is known to the order.
-COMMON = 65_536
-#: Rounds of neighbours, sets of a list that are put in order together, sets of a chunk.
-ROUNDS, STRETCH, CHUNK = 3, 256, 65_536
+COMMON = 262_144
+#: Sets that make a list long for a first look, hubs that they are then compared with, sets of a chunk.
+LONG, HUBS, CHUNK = 256, 4, 65_536
 #: Bytes of text handled together in a task, texts that a task remembers to have seen; bits of a set's parity.
-SLICE, SEEN, PARITY = 500_000, 200_000, 1024
+SLICE, SEEN, PARITY = 250_000, 50_000, 1024
 
 U = np.uint64
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -285,21 +284,22 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def still_open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(token, node, n, root): the entries of lists whose sets aren't in one component."""
-    at = lists.withColumn("root", F.col("node")) if roots is None else lists.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = lists.sparkSession.createDataFrame([], "node long, root long") if roots is None else sized(roots)
+    at = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = at.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     return written(at.join(sized(written(mixed, "mixed")), "token", "left_semi").select("token", "node", "n", "root"), "open")
 
 
-def neighbours(entries: DataFrame, turn: int) -> DataFrame:
-    """(a, b): for each set of a long list the one of another component that it stands next to in most of them, in a random order of all sets."""
-    size = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > STRETCH)
-    rows = entries.join(sized(written(size, "long")), "token")
-    stretch = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("size") / STRETCH).cast("long"))
-    order = Window.partitionBy("token", "stretch").orderBy("place", "node")
-    rows = rows.select("token", "node", "n", "root", stretch.alias("stretch"), F.xxhash64(F.lit(turn), "node").alias("place"))
-    rows = rows.withColumn("b", F.lag("node").over(order)).withColumn("m", F.lag("n").over(order)).withColumn("other", F.lag("root").over(order))
-    met = rows.where(F.col("b").isNotNull() & (F.col("root") != F.col("other")) & fitting("n", "m")).groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("lists"))
-    return best(met, "lists")
+def hubs(entries: DataFrame) -> DataFrame:
+    """(a, b): the sets of long lists, each with those HUBS sets of its lists that are in most long lists."""
+    size = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG), "long")
+    rows = written(entries.join(sized(size), "token").select("token", "node", "n"), "long-entries")
+    degree = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    order = Window.partitionBy("token").orderBy(F.desc("degree"), "b")
+    top = rows.select("token", F.col("node").alias("b"), F.col("n").alias("m")).join(degree.withColumnRenamed("node", "b"), "b")
+    top = written(top.withColumn("place", F.row_number().over(order)).where(F.col("place") <= HUBS).drop("place"), "hubs")
+    pairs = rows.join(sized(top), "token").where((F.col("node") != F.col("b")) & fitting("n", "m"))
+    return pairs.select(F.col("node").alias("a"), "b").distinct()
 
 
 def best(pairs: DataFrame, score: str) -> DataFrame:
@@ -333,6 +333,21 @@ def t_occurrence(lists: list[list[int]], least: int) -> dict[int, int]:
     return found
 
 
+def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
+    """As t_occurrence: the longest lists are set aside, the others merged with what is then still needed, and what they give is probed in the long ones."""
+    lists = sorted(lists, key=len)
+    aside = min(3 * least // 4, len(lists) - 1)
+    merged, probed = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    found = {}
+    for x, count in t_occurrence(merged, least - aside).items():
+        for other in probed:
+            at = bisect_left(other, x)
+            count += at < len(other) and other[at] == x
+        if count >= least:
+            found[x] = count
+    return found
+
+
 def searched(entries: DataFrame) -> DataFrame:
     """(a, b, hits): pairs of sets of different components that share enough short lists to be looked up in the long ones."""
     whole = entries.select("node", "root").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
@@ -348,9 +363,9 @@ def searched(entries: DataFrame) -> DataFrame:
 
     def merge(key: tuple[int, int, int], lists: list[np.ndarray], sizes: dict[int, int]) -> list[tuple[int, int, int]]:
         a, _, n = key
-        # the fewest lists that any partner must be met in are those of the smallest or the largest possible one
-        least = int(min(need(n, -(-PART * n // OF)), need(n, OF * n // PART)))
-        return [(a, b, k) for b, k in t_occurrence([x.tolist() for x in lists], least).items() if k >= need(n, sizes[b])]
+        enough = {m: int(need(n, m)) for m in set(sizes.values())}
+        found = divide_skip([x.tolist() for x in lists], min(enough.values()))
+        return [(a, b, k) for b, k in found.items() if k >= enough[sizes[b]]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, lists, sizes = None, [], {}
@@ -384,13 +399,13 @@ def overlap_classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     own = docs.select((F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scope(spark):
-        with arrow_rows(spark, 1000):
+        with arrow_rows(spark, 300):
             sets = written(sets_of(own), "sets")
         # a set is known by the first row that has it; other tasks may have made it, too
         made = sets.where("uid is not null and shingles is not null")
         reps = written(made.groupBy("key").agg(F.min("uid").alias("node")), "reps")
         nodes = made.withColumnRenamed("uid", "node")
-        with arrow_rows(spark, 1000):
+        with arrow_rows(spark, 500):
             entries = postings(nodes, *common_shingles(sets))
             shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("token")
             lists = written(entries.join(sized(written(shared, "shared")), "token", "left_semi"), "entries")
@@ -409,9 +424,7 @@ def overlap_classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
             roots = components(spark, links)
             return True
 
-        for turn in range(ROUNDS):
-            if not add(neighbours(still_open(lists, roots), turn)):
-                break
+        add(hubs(lists))
         pairs = searched(still_open(lists, roots))
         # most pairs of a class need no look once each set's best partner was looked at
         if add(best(pairs, "hits")):

@@ -61,18 +61,17 @@ def odd(edges):
     return docs + [(7000, docs[-1][1]), (None, docs[20][1])]
 
 
-@pytest.mark.parametrize("stretch", [256, 4])
-def test_shingle_join_equals_brute_force(frame, odd, monkeypatch, stretch):
-    monkeypatch.setattr(overlap_join, "STRETCH", stretch)
+@pytest.mark.parametrize("long", [256, 3])
+def test_shingle_join_equals_brute_force(frame, odd, monkeypatch, long):
+    monkeypatch.setattr(overlap_join, "LONG", long)
     got = overlap_join.overlap_classes(frame(odd))
     want = Counter(classes(odd))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
 
 
 def test_shingle_join_search_alone_equals_brute_force(frame, odd, monkeypatch):
-    """Without rounds of neighbours every link comes from the merged lists."""
-    monkeypatch.setattr(overlap_join, "ROUNDS", 0)
-    monkeypatch.setattr(overlap_join, "STRETCH", 4)
+    """Without hubs every link comes from the merged lists."""
+    monkeypatch.setattr(overlap_join, "LONG", 10**9)
     monkeypatch.setattr(overlap_join, "CHUNK", 16)
     monkeypatch.setattr(overlap_join, "STEP", 8)
     monkeypatch.setattr(overlap_join, "COMMON", 64)
@@ -109,7 +108,8 @@ def test_merge_skip_equals_counting(least):
     for _ in range(200):
         lists = [sorted(rng.sample(range(30), rng.randrange(0, 20))) for _ in range(rng.randrange(1, 8))]
         count = Counter(itertools.chain(*lists))
-        assert overlap_join.t_occurrence(lists, least) == {k: v for k, v in count.items() if v >= least}
+        want = {k: v for k, v in count.items() if v >= least}
+        assert overlap_join.t_occurrence(lists, least) == want and overlap_join.divide_skip(lists, least) == want
 
 
 def test_short_lists_suffice():
@@ -203,7 +203,7 @@ def test_whitening_of_few_vectors(spark):
     assert whitening.whitened(make([])).collect() == []
     assert whitening.whitened(make([(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect() == []
     got = whitening.whitened(make([(1, [1.0, 2.0, 3.0]), (2, [2.0, 2.0, 3.0]), (2, [2.0, 2.0, 3.0])])).collect()
-    assert sorted((r.vec_id, r.component, abs(round(r.whitened, 9)), r.explained) for r in got) == [(1, 1, 1.0, 1.0), (2, 1, 1.0, 1.0), (2, 1, 1.0, 1.0)]
+    assert sorted((r.vec_id, r.component, abs(round(r.whitened, 9)), round(r.explained, 9)) for r in got) == [(1, 1, 1.0, 1.0), (2, 1, 1.0, 1.0), (2, 1, 1.0, 1.0)]
 
 
 @pytest.mark.parametrize("d", [1, 2, 5, 17, 60, 150])
