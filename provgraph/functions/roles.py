@@ -44,3 +44,36 @@ def processor_family(name: Column, chain: list[tuple[str, str]], known: Column |
     """The family by an authoritative lookup if it has one, else by the first substring of the chain, else Other."""
     low = F.lower(name)
     return F.coalesce(*([known] if known is not None else []), *(F.when(low.contains(part), family) for part, family in chain), F.lit("Other"))
+
+
+def name_trie(stock: DataFrame) -> DataFrame:
+    """stock (entry, role, place) to the edges of a trie over tokens: prefix, token, child, and entry, role, place where child is a whole entry.
+
+    Of entries with the same tokens the first by place counts. A role may be null: such an entry says that its name has none.
+    """
+    words = stock.select("entry", F.col("role").alias("role"), "place", tokens(F.col("entry")).alias("w")).where(F.size("w") > 0)
+    upto = lambda n: F.array_join(F.slice("w", F.lit(1), n), " ")
+    edges = words.select(F.explode(F.transform("w", lambda t, i: F.struct(upto(i).alias("prefix"), t.alias("token"), upto(i + 1).alias("child")))).alias("e")).select("e.*").distinct()
+    ends = words.groupBy(F.array_join("w", " ").alias("child")).agg(F.min_by(F.struct("entry", "role", "place"), F.struct("place", "entry")).alias("end"))
+    return edges.join(ends, "child", "left")
+
+
+def stock_matches(names: DataFrame, stock: DataFrame, name: str = "name") -> DataFrame:
+    """names with entry, stock_role, start and length of the longest stock name among their tokens; null where there is none.
+
+    Every start of every distinct name walks the trie, a level a join, until nothing goes on; a longer entry
+    shadows what it contains, also where it has no role. Of equally long ones the first by place counts, then the first start.
+    """
+    trie = name_trie(stock)
+    levels = trie.agg(F.max(F.size(F.split("child", " ")))).first()[0] or 0
+    trie = F.broadcast(trie) if trie.count() <= SMALL else trie
+    found = names.select(name).distinct().withColumn("w", tokens(F.col(name))).where(F.size("w") > 0)
+    none = F.lit(None).cast("struct<entry:string,role:string,place:bigint,length:int>")
+    walk = found.select(name, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("start")).withColumn("prefix", F.lit("")).withColumn("best", none)
+    for n in range(levels):
+        step = trie.select("prefix", "token", "child", F.col("end.entry").alias("entry"), F.col("end.role").alias("role"), F.col("end.place").cast("bigint").alias("place"))
+        walk = walk.withColumn("token", F.get("w", F.col("start") + n)).join(step, ["prefix", "token"], "left")
+        here = F.when(F.col("entry").isNotNull(), F.struct("entry", "role", "place", F.lit(n + 1).alias("length")))
+        walk = walk.select(name, "w", "start", F.col("child").alias("prefix"), F.coalesce(here, "best").alias("best")).where("prefix is not null or best is not null")
+    longest = walk.where("best is not null").groupBy(name).agg(F.min_by(F.struct("best", "start"), F.struct(-F.col("best.length"), F.col("best.place"), F.col("start"))).alias("x"))
+    return names.join(longest, name, "left").select(*names.columns, F.col("x.best.entry").alias("entry"), F.col("x.best.role").alias("stock_role"), F.col("x.start").alias("start"), F.col("x.best.length").alias("length"))

@@ -17,7 +17,7 @@ MEDIA = (
     "mid", "midi", "mov", "mp4", "m4v", "wmv",
 )
 PATH_SHAPE = r"(?:/|\./|\.\./|~/|~$|[A-Za-z]:[\\/])"
-HOMES = (r"/Users/[^/\s\"]+", r"/home/[^/\s\"]+", r"/Volumes/[^/\s\"]+", r"[A-Za-z]:\\Users\\[^\\\s\"]+")
+HOMES = (r"/Users/[^/\s\"']+", r"/home/[^/\s\"']+", r"\\Users\\[^\\\s\"']+", r"/Volumes/[^/\s\"']+")
 REDACTED = "<redacted>"
 MEDIA_TOKEN = rf"[\w./\\-]+\.(?:{'|'.join(MEDIA)})\b"
 
@@ -35,20 +35,22 @@ def hash_asset(path: Column) -> Column:
 
 def is_asset(text: Column) -> Column:
     """A string that as a whole is a media or project file, or a bare path."""
-    return text.rlike(rf"(?i)^[^\n]*\.(?:{'|'.join(MEDIA)})\s*$") | text.rlike(f"^{PATH_SHAPE}")
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return bare.rlike(rf"(?i)\.(?:{'|'.join(MEDIA)})$") | bare.rlike(f"^{PATH_SHAPE}")
 
 
 def sanitize_text(text: Column, users: tuple[str, ...] = ()) -> Column:
-    """A media path as its hash; in other text each media token as its hash, then locations redacted."""
+    """Locations redacted, then a media path as its hash, so that one file has one hash whoever's home it lies in; in other text each media token as its hash."""
+    text = redact_paths(text, users)
     found = F.regexp_extract_all(text, F.lit(f"(?i){MEDIA_TOKEN}"), F.lit(0))
     inside = F.aggregate(found, text, lambda acc, m: F.replace(acc, m, hash_asset(m)))
-    return redact_paths(F.when(is_asset(text), hash_asset(text)).otherwise(inside), users)
+    return F.when(is_asset(text), hash_asset(text)).otherwise(inside)
 
 
 def sanitize_json(column: str, users: tuple[str, ...] = ()) -> Column:
     """Every key and string of a JSON document, at any depth; what isn't JSON becomes null. An Arrow UDF, for depth has no bound."""
     homes = [re.compile(p) for p in (*HOMES, *(rf"\b{re.escape(u)}\b" for u in users))]
-    token, whole = re.compile(f"(?i){MEDIA_TOKEN}"), re.compile(rf"(?i)^[^\n]*\.(?:{'|'.join(MEDIA)})\s*$|^{PATH_SHAPE}")
+    token, ending, shape = re.compile(f"(?i){MEDIA_TOKEN}"), re.compile(rf"(?i)\.(?:{'|'.join(MEDIA)})$"), re.compile(PATH_SHAPE)
 
     def hashed(m: str) -> str:
         return "asset:sha256:" + hashlib.sha256(m.encode()).hexdigest()[:12]
@@ -60,10 +62,10 @@ def sanitize_json(column: str, users: tuple[str, ...] = ()) -> Column:
             return [clean(v) for v in x]
         if not isinstance(x, str):
             return x
-        x = hashed(x) if whole.match(x) else token.sub(lambda m: hashed(m[0]), x)
         for p in homes:
             x = p.sub(REDACTED, x)
-        return x
+        bare = x.strip()
+        return hashed(x) if ending.search(bare) or shape.match(bare) else token.sub(lambda m: hashed(m[0]), x)
 
     @F.pandas_udf("string")
     def walk(values: pd.Series) -> pd.Series:

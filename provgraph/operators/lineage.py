@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import cut
+from ..sources.tables import cut, settled
 
 
 def members(variants: DataFrame) -> DataFrame:
@@ -46,6 +46,7 @@ def loop_sizes(parents: DataFrame) -> DataFrame:
     return cut(rows.join(sizes, "low").select("snapshot_id", "size"))
 
 
+@settled
 def depths(variants: DataFrame) -> DataFrame:
     """(snapshot_id, depth): derivations above a member, however many; a chain that returns to itself stops there.
 

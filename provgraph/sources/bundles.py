@@ -41,6 +41,11 @@ def snapshots(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
+def native(spark: SparkSession, root: str) -> DataFrame:
+    """(bundle_id, payload): the native files as VARIANT, null where one doesn't parse. A table of its own: nothing reads these files that doesn't ask for a payload."""
+    return files(spark, root, "native.json").select("bundle_id", F.try_parse_json("text").alias("payload"))
+
+
 def load_warnings(rows: DataFrame) -> DataFrame:
     """(bundle_id, warnings): sidecars that are missing."""
     missing = F.array_compact(F.array(*(F.when(~F.col(f"has_{n.split('.')[0]}"), F.lit(f"missing {n}")) for n in SIDECARS if n != "native.json")))
@@ -105,4 +110,4 @@ def label_counts(lines: DataFrame, key: str = "instrument") -> DataFrame:
     return lines.select(label.alias("label")).where("label <> ''").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-__all__ = ["capabilities", "files", "hash_asset", "is_asset", "label_counts", "labelled", "load_warnings", "redact_paths", "sanitized", "snapshots", "tables", "write_dataset"]
+__all__ = ["capabilities", "files", "hash_asset", "is_asset", "label_counts", "labelled", "load_warnings", "native", "redact_paths", "sanitized", "snapshots", "tables", "write_dataset"]

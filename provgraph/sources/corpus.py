@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import cut
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: name -> statement; a statement names driver tables and earlier statements in braces.
@@ -67,8 +69,12 @@ SELECT bundle_id, 'g' || CAST(bundle_id AS STRING) || '-' || CAST(s_nationkey AS
 }
 
 
+#: Statements whose rows are written once for a query, however often it reads them.
+WRITTEN = ("lines", "entities", "relationships", "availability")
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, ...]:
-    """The named corpus or driver tables."""
+    """The named corpus or driver tables. Those of WRITTEN are written tables, read with the columns that a query takes (tables.drop_left deletes them)."""
     made: dict[str, DataFrame] = {}
 
     def get(name: str) -> DataFrame:
@@ -76,6 +82,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, ..
             if name in STATEMENTS:
                 needed = set(re.findall(r"\{(\w+)\}", STATEMENTS[name]))
                 made[name] = spark.sql(STATEMENTS[name], **{x: get(x) for x in needed})
+                made[name] = cut(made[name]) if name in WRITTEN else made[name]
             else:
                 made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         return made[name]
@@ -97,4 +104,4 @@ def with_clause(*names: str) -> str:
     for name in names:
         add(name)
     plain = {x: x for x in (*TABLES, *STATEMENTS)}
-    return "WITH " + ",\n".join(f"{name} AS ({STATEMENTS[name].format(**plain)})" for name in order)
+    return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({STATEMENTS[name].format(**plain)})" for name in order)
