@@ -1,7 +1,9 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame functions only.
 
-Two lines within TAU edits: if one is cut into TAU + 1 segments, one segment stands unchanged in the
-other, at a place that the lengths and the edits before and after it bound. Each distinct line gives
+Two lines are near when they are within min(TAU, n div EACH) edits, n being the letters of the shorter one:
+an edit for each EACH letters, TAU at most, for lines of every length; unrelated short lines, which few edits
+would turn into each other, stay apart, and those under EACH letters are near their copies only. Of lines within t edits, if
+the shorter one is cut into t + 1 segments, one segment stands unchanged in the other, at a place that the lengths and the edits before and after it bound. Each distinct line gives
 its own segments and, for every length it may match, the few substrings at those places; equal keys
 (length, segment, content) make candidates. Keys that one line alone has are dropped by a count before
 anything is joined. A candidate pair is compared first by the parity of its letters, of which TAU edits
@@ -9,8 +11,7 @@ change at most 2 * TAU bits, then by that of its pairs of letters; keys with mor
 which must agree. The edit distance is then verified by a band of 2 * TAU + 1 bits for each number of
 errors, advanced letter by letter.
 
-A line is known by a 128-bit digest; a copy is not compared again. Lines of TAU code points or fewer, which
-edits could replace whole, are near nothing and match exact copies only. Classes are connected components; a class keeps its first line in the order
+A line is known by a 128-bit digest; a copy is not compared again. Classes are connected components; a class keeps its first line in the order
 of doc_id (nulls last) and line number.
 
 Defined results: a null text has no lines, an empty text one empty line; repeated rows are copies;
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import components, fresh, own_columns, scope, sized, table, written
 
-TAU, LEAST = 2, 3
+#: Edits of near lines at most, letters for each.
+TAU, EACH = 2, 8
 #: Rows of a key up to which its pairs are formed directly.
 HOT = 64
 OWN, PROBE = 1, 2
@@ -38,6 +40,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
+def allowed(n: Column | str, tau: int = TAU) -> Column:
+    """The edits that make lines near whose shorter one has n letters."""
+    return F.least(F.lit(tau), F.floor((F.col(n) if isinstance(n, str) else n) / EACH)).cast("int")
+
+
 def places(tau: int) -> list[tuple[int, int, int, int]]:
     """(shorter, i, shift, kind): where in a line the i-th segment of one that is shorter by so many letters may stand.
 
@@ -51,13 +58,14 @@ def places(tau: int) -> list[tuple[int, int, int, int]]:
     return found
 
 
-def keyed_lines(lines: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+def keyed_lines(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """(key, kind, h1, h2): each line's own segments, and the substrings that may be segments of an equal or shorter line."""
-    marks = F.array(*(F.struct(*(F.lit(x).alias(name) for x, name in zip(p, ("shorter", "i", "shift", "kind"), strict=True))) for p in places(tau)))
-    rows = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= least).select("h1", "h2", "line", "n", F.explode(marks).alias("q"))
-    # segments of n div parts letters, the last ones of one more
-    rows = rows.select("h1", "h2", "line", "q.i", "q.shift", "q.kind", (F.col("n") - F.col("q.shorter")).alias("m")).where(F.col("m") >= least)
-    rows = rows.select("*", F.expr(f"m div {tau + 1}").cast("int").alias("base"), (tau + 1 - F.col("m") % (tau + 1)).cast("int").alias("longer_from"))
+    names = ("t", "shorter", "i", "shift", "kind")
+    marks = F.array(*(F.struct(*(F.lit(x).alias(name) for x, name in zip((t, *p), names, strict=True))) for t in range(1, tau + 1) for p in places(t)))
+    rows = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= EACH).select("h1", "h2", "line", "n", F.explode(marks).alias("q"))
+    # the shorter line's length says how many edits, and so how many segments: of m div parts letters, the last ones of one more
+    rows = rows.select("h1", "h2", "line", "q.i", "q.shift", "q.kind", (F.col("q.t") + 1).alias("parts"), (F.col("n") - F.col("q.shorter")).alias("m")).where(allowed("m", tau) + 1 == F.col("parts"))
+    rows = rows.select("*", F.expr("m div parts").cast("int").alias("base"), (F.col("parts") - F.col("m") % F.col("parts")).cast("int").alias("longer_from"))
     start = F.col("i") * F.col("base") + F.greatest(F.lit(0), F.col("i") - F.col("longer_from")) + F.col("shift")
     rows = rows.select("h1", "h2", "line", "kind", "m", "i", start.alias("start"), (F.col("base") + (F.col("i") >= F.col("longer_from")).cast("int")).alias("size")).where("start >= 0")
     return rows.select(F.xxhash64("m", "i", F.substring("line", F.col("start") + 1, F.col("size"))).alias("key"), "kind", "h1", "h2")
@@ -115,17 +123,17 @@ def edits(a: str, b: str, tau: int = TAU) -> Column:
     return F.when(F.abs(place) > tau, F.lit(tau + 1)).otherwise(F.aggregate(steps, begin, step, result))
 
 
-def candidates(lines: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+def candidates(lines: DataFrame, tau: int = TAU) -> DataFrame:
     """(key, kind, h1, h2): keys that several lines have, with those lines."""
-    keyed = keyed_lines(lines, tau, least)
+    keyed = keyed_lines(lines, tau)
     seen = keyed.groupBy("key").agg(F.bit_or("kind").alias("kinds"), F.min("h1").alias("x"), F.max("h1").alias("y"))
     shared = written(seen.where((F.col("kinds") == (OWN | PROBE)) & (F.col("x") != F.col("y"))).select("key"), "keys")
     return written(keyed.join(sized(shared), "key").groupBy("key", "h1", "h2").agg(F.bit_or("kind").alias("kind")), "hits")
 
 
-def near_links(lines: DataFrame, tau: int = TAU, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """nodes (node, h1, h2) and links (a, b) with a < b: distinct lines within tau edits of each other."""
-    hits = candidates(lines, tau, least)
+def near_links(lines: DataFrame, tau: int = TAU) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, h1, h2) and links (a, b) with a < b: distinct lines near each other."""
+    hits = candidates(lines, tau)
     ids = written(hits.select("h1", "h2").distinct(), "ids")
     texts = lines.select("h1", "h2", "line").join(sized(ids), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     nodes = written(texts.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "line", F.char_length("line").alias("n"), parity().alias("parity"), pair_parity().alias("pairs")), "nodes")
@@ -141,21 +149,21 @@ def near_links(lines: DataFrame, tau: int = TAU, least: int = LEAST) -> tuple[Da
     probe = rows.where(F.col("kind").bitwiseAND(F.lit(PROBE)) > 0).select("key", "j", "part", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
     # a pair is formed in the first part that agrees
     earlier = reduce(lambda x, y: x | y, ((F.col("j") > i) & (part(F.col("pa"), i, tau) == part(F.col("pb"), i, tau)) for i in range(parts)))
-    near = (F.col("na") <= F.col("nb")) & (F.col("nb") - F.col("na") <= tau) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-    pairs = own.join(probe, ["key", "j", "part"]).where(near & ~earlier & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * tau))
+    near = (F.col("na") <= F.col("nb")) & (F.col("nb") - F.col("na") <= allowed("na", tau)) & ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
+    pairs = own.join(probe, ["key", "j", "part"]).where(near & ~earlier & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 2 * allowed("na", tau)))
     pairs = pairs.select("a", "b").distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("pairs").alias(f"p{x}"), F.col("line").alias(f"l{x}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 4 * tau)
     pairs = written(pairs.select("a", "b", letters("la").alias("la"), letters("lb").alias("lb")), "pairs")
-    links = pairs.where(edits("la", "lb", tau) <= tau).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = pairs.where(edits("la", "lb", tau) <= allowed(F.least(F.size("la"), F.size("lb")), tau)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return nodes.select("node", "h1", "h2"), written(links, "links")
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """One row for each distinct line: h1, h2, line_md5, its first place, its copies, its class' first place and size, its links, kept."""
     lines = lines_of(docs)
     with scope(docs.sparkSession):
-        nodes, links = near_links(lines, tau, least)
+        nodes, links = near_links(lines, tau)
         roots = components(docs.sparkSession, links)
         counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
         linked = written(nodes.join(roots, "node").join(counts, "node").select("h1", "h2", "root", "n_links"), "linked", result=True)
@@ -171,13 +179,13 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFra
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("first").eqNullSafe(best).alias("kept"))
 
 
-def drop_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
-    """docs with only the lines that are the first of their class; lines shorter than least, as empty ones, stay everywhere."""
+def drop_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """docs with only the lines that are the first of their class; empty lines stay everywhere."""
     uid, kept_text = fresh("uid", docs), fresh("kept_text", docs)
     rows = written(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
-    kept = line_classes(rows, tau, least).where("kept").select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
+    kept = line_classes(rows, tau).where("kept").select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     lines = lines_of(rows.withColumn("doc_id", F.struct("doc_id", uid))).withColumn(uid, F.col(f"doc_id.{uid}")).withColumn("doc_id", F.col("doc_id.doc_id"))
-    own = lines.join(kept, ["h1", "h2"], "left").where((F.char_length("line") < least) | (F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))))
+    own = lines.join(kept, ["h1", "h2"], "left").where((F.col("line") == "") | (F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l"))))
     texts = own.groupBy(uid).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias(kept_text))
     out = rows.join(texts, uid, "left")
     return out.withColumn("text", F.when(F.col("text").isNotNull(), F.coalesce(kept_text, F.lit("")))).select(*own_columns(docs))

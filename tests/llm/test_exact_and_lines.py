@@ -66,6 +66,7 @@ def variants(seed, n=120):
             x[p : p + r.randint(0, 1)] = r.choice([[], [r.choice(letters)]])
         out.append("".join(x))
     short = ["".join(r.choice("ab ") for _ in range(r.randint(0, 9))) for _ in range(40)]
+    short += ["".join(r.choice("ab") for _ in range(r.randint(7, 18))) for _ in range(60)]
     return [*out, *short, "short", "shorr", ""]
 
 
@@ -77,13 +78,20 @@ def test_line_links_equal_brute_force(frame, monkeypatch, hot):
     want = {}
     distinct = sorted({x for _, t in docs if t is not None for x in t.split("\n")})
     for a in distinct:
-        near = [b for b in distinct if b != a and min(len(a), len(b)) >= 3 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
+        near = [b for b in distinct if b != a and distance(a, b) <= min(2, min(len(a), len(b)) // 8)]
         want[hashlib.md5(a.encode()).hexdigest()] = (sum(t.split("\n").count(a) for _, t in docs if t is not None), len(near))
     got = line_dedup.line_classes(frame(docs)).collect()
     assert {r.line_md5: (r.copies, r.n_links) for r in got} == want
     assert sum(r.kept for r in got) == len({(r.class_doc_id, r.class_line_no) for r in got})
 
 
+def test_unrelated_short_lines_stay_apart(frame):
+    r = random.Random(8)
+    lines = sorted({"".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(1700)})[:1600]
+    got = line_dedup.line_classes(frame([(i, x) for i, x in enumerate([*lines, *lines[:10]])]))
+    assert got.where("class_size = 1 and n_links = 0 and kept").count() == 1600
+
+
 def test_drop_lines(frame):
     a, b = "the quick brown fox jumps over it", "the quick brown fox jumps over if"
     docs = frame([(1, f"{a}\nkeep me, for I am a longer line"), (2, f"{b}\nx\n{a}"), (3, None)])
