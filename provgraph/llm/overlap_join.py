@@ -282,18 +282,19 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         return written(shingles("a").join(shingles("b"), ["a", "b"]).where(linked("sa", "sb")).select("a", "b"), "links")
 
 
-def still_open(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(token, node, n, root): the entries of lists whose sets aren't in one component."""
-    roots = lists.sparkSession.createDataFrame([], "node long, root long") if roots is None else sized(roots)
-    at = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def still_open(lists: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """lists (token, node) to (token, node, n, root): the entries of lists whose sets aren't in one component."""
+    known = nodes.select("node", "n")
+    known = known.withColumn("root", F.col("node")) if roots is None else known.join(sized(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = written(lists.join(known, "node"), "rooted")
     mixed = at.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
     return written(at.join(sized(written(mixed, "mixed")), "token", "left_semi").select("token", "node", "n", "root"), "open")
 
 
-def hubs(entries: DataFrame) -> DataFrame:
-    """(a, b): the sets of long lists, each with those HUBS sets of its lists that are in most long lists."""
+def hubs(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entries (token, node) to (a, b): the sets of long lists, each with those HUBS sets of its lists that are in most long lists."""
     size = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG), "long")
-    rows = written(entries.join(sized(size), "token").select("token", "node", "n"), "long-entries")
+    rows = written(entries.join(sized(size), "token").select("token", "node").join(nodes.select("node", "n"), "node"), "long-entries")
     degree = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degrees")
     order = Window.partitionBy("token").orderBy(F.desc("degree"), "b")
     top = rows.select("token", F.col("node").alias("b"), F.col("n").alias("m")).join(degree.withColumnRenamed("node", "b"), "b")
@@ -409,9 +410,9 @@ def overlap_classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
             entries = postings(nodes, *common_shingles(sets))
             shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("token")
             lists = written(entries.join(sized(written(shared, "shared")), "token", "left_semi"), "entries")
-        again = written(made.select(F.col("uid").alias("node"), "key").join(reps.withColumnRenamed("node", "rep"), "key").where("node <> rep").select("node", "rep"), "again")
-        lists = lists.join(sized(again), "node", "left").select("token", F.coalesce("rep", "node").alias("node")).distinct()
-        lists = written(lists.join(nodes.select("node", "n"), "node"), "lists")
+        # what another task made of the same words has the same entries
+        again = written(made.select(F.col("uid").alias("node"), "key").join(reps.withColumnRenamed("node", "rep"), "key").where("node <> rep").select("node"), "again")
+        lists = written(lists.join(sized(again), "node", "left_anti"), "lists")
         links, roots = None, None
 
         def add(pairs: DataFrame) -> bool:
@@ -424,8 +425,8 @@ def overlap_classes(docs: DataFrame, uid: str | None = None) -> DataFrame:
             roots = components(spark, links)
             return True
 
-        add(hubs(lists))
-        pairs = searched(still_open(lists, roots))
+        add(hubs(lists, nodes))
+        pairs = searched(still_open(lists, nodes, roots))
         # most pairs of a class need no look once each set's best partner was looked at
         if add(best(pairs, "hits")):
             at = lambda x: sized(roots).select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
