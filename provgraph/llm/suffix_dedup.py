@@ -40,7 +40,7 @@ LENGTH, K = 200, 64
 #: Classes of a bucket up to which it is handled whole in one task (of at most 2 * LENGTH bytes each), classes dealt to a task.
 HOT, DEALT = 8192, 2048
 #: Bytes handled together in a task.
-SLICE = 1_000_000
+SLICE = 250_000
 
 U = np.uint64
 STEP = 0x9E3779B97F4A7C15
@@ -225,12 +225,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str
     """(tk, start, end): bytes of the text with MD5 digest tk that repeat elsewhere in it or in other texts; spans don't overlap."""
     first_stays = keep == "first"
     keyed = keyed_texts(docs)
-    cut = segment_table(keyed.where(F.octet_length("bytes") >= length), length, k, bits)
-    # buckets of several places; copies of one text make these too, and are told apart below
-    full = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("anchor").alias("key"))
-    # joined by a hash of the anchor, so that the aggregation below deals its rows anew and a hot anchor's can be split here
-    hits = cut.withColumn("key", F.xxhash64("anchor")).join(full, "key").groupBy(*PLACE, "tk", "lo").agg(F.min("d").alias("d"), F.min("hi").alias("hi"))
     with scope(docs.sparkSession):
+        # written, so that the texts are cut once; only the anchors are read to find those of several places
+        cut = written(segment_table(keyed.where(F.octet_length("bytes") >= length), length, k, bits), "segments")
+        # copies of one text make several places too, and are told apart below
+        full = cut.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("anchor").alias("key"))
+        # joined by a hash of the anchor, so that the aggregation below deals its rows anew and a hot anchor's can be split here
+        hits = cut.withColumn("key", F.xxhash64("anchor")).join(full, "key").groupBy(*PLACE, "tk", "lo").agg(F.min("d").alias("d"), F.min("hi").alias("hi"))
         hits = written(hits, "hits")
         texts = keyed.join(hits.select("tk").distinct(), "tk", "left_semi").select("tk", "bytes").dropDuplicates(["tk"])
         classes, turn = classes_of(hits, texts, length), 0
@@ -307,12 +308,14 @@ def between_letters(b: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, in
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep: str = "none", letters: bool = False, bits: int = 64) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept, the bytes that stay, in place of columns of these names; letters: no letter is cut in two."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = repeated_spans(docs, length, k, keep, bits)
-    by_text = spans.groupBy("tk").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     key, at = fresh("tk", docs), fresh("d", docs)
-    copies = keyed_texts(docs).select("tk", F.octet_length("bytes").alias("n"), "d").where(F.col("n") >= length)
-    copies = copies.groupBy("tk").agg(F.count(F.lit(1)).alias("copies"), F.min("d").alias("first")).where("copies > 1")
-    facts = written(by_text.join(copies, "tk", "full_outer").select(F.col("tk").alias(key), F.struct("spans", "copies", "first").alias("found")), "facts", result=True)
+    with scope(docs.sparkSession):
+        spans = repeated_spans(docs, length, k, keep, bits)
+        by_text = spans.groupBy("tk").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        copies = keyed_texts(docs).select("tk", F.octet_length("bytes").alias("n"), "d").where(F.col("n") >= length)
+        copies = copies.groupBy("tk").agg(F.count(F.lit(1)).alias("copies"), F.min("d").alias("first")).where("copies > 1")
+        facts = by_text.join(copies, "tk", "full_outer").select(F.col("tk").alias(key), F.struct("spans", "copies", "first").alias("found"))
+        facts = written(facts, "facts", result=True)
 
     @F.pandas_udf(CUT)
     def cut(bytes_: pd.Series, spans: pd.Series, whole: pd.Series) -> pd.DataFrame:
