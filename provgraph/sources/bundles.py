@@ -6,10 +6,13 @@ directories itself: each kind of file is one Spark read by glob, keyed by a dige
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sanitize import hash_asset, is_asset, redact_paths, sanitize_json
+from .tables import delete
 
 # File names of a bundle.
 SNAPSHOT, SIDECARS = "canonical.snapshot.json", ("native.json", "capabilities.json", "adapter_descriptor.json", "validation.json")
@@ -85,15 +88,23 @@ def sanitized(rows: DataFrame, users: tuple[str, ...] = ()) -> DataFrame:
     return rows.select("bundle_id", sanitize_json("text", users).alias("text"))
 
 
-def write_dataset(parts: dict[str, DataFrame], out: str) -> DataFrame:
-    """Writes each part as JSON below out and returns the manifest (part, rows); the same input gives the same rows in the same order."""
+def write_dataset(parts: dict[str, DataFrame], out: str, files: int | None = None) -> DataFrame:
+    """Writes each part as JSON below out and returns the manifest (part, rows), which is written last: a folder with a manifest holds a whole dataset.
+
+    Each part is computed once and counted as it is written. Rows are dealt to files (as many as the session's shuffle partitions
+    if not given) by all their values and sorted there, so the same input gives the same bytes, and a hot bundle spreads.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    delete(spark, [f"{out}/manifest"])
     counts = []
     for name, df in sorted(parts.items()):
-        df.repartitionByRange(*[F.col(c) for c in df.columns[:1]]).sortWithinPartitions(*[c for c, t in df.dtypes if not t.startswith("map")]).write.mode("overwrite").json(f"{out}/{name}")
-        counts.append(df.select(F.lit(name).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("rows")))
-    manifest = counts[0]
-    for more in counts[1:]:
-        manifest = manifest.unionByName(more)
+        order = [F.to_json(F.struct(c)) if "map<" in t or t == "variant" else F.col(c) for c, t in df.dtypes]
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        # counted behind the shuffle, where each row passes once
+        df.repartition(files, F.xxhash64(*order)).sortWithinPartitions(*order).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").json(f"{out}/{name}")
+        counts.append((name, seen.get["rows"]))
+    manifest = spark.createDataFrame(counts, "part string, rows long")
     manifest.coalesce(1).write.mode("overwrite").json(f"{out}/manifest")
     return manifest
 
