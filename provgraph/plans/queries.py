@@ -625,4 +625,4 @@ def metric_alignment(spark, sf_dir):
     return out.withColumn("mean_confidence", F.round("mean_confidence", 4))
 
 
-from . import contract_queries, flow_queries, signal_queries  # noqa: E402, F401  they register their queries here
+from . import contract_queries, flow_queries, session_queries, signal_queries  # noqa: E402, F401  they register their queries here
