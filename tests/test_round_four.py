@@ -1,11 +1,15 @@
 """Queries on tables with rows that the generated ones lack, against their SQL."""
 
 import os
+import pathlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from provgraph.operators import pathway
 from provgraph.plans.queries import QUERIES, SQL
+from provgraph.sources import corpus, tables
 
 from .test_queries import SF, TABLES, normal
 
@@ -30,3 +34,33 @@ def test_no_rung_reached(spark, odd):
     got = QUERIES["ladder_summary"](spark, folder).select("bundle_id", "reached_set", "highest_contiguous").collect()
     assert normal(got) == normal(duck.execute(f"SELECT bundle_id, reached_set, highest_contiguous FROM ({SQL['ladder_summary']})").fetchall())
     assert {r.bundle_id: (r.reached_set, r.highest_contiguous) for r in got if r.bundle_id >= 1000050} == {1000050: (None, -1), 1000051: ("0", 0)}
+
+
+def files(folder, pattern):
+    return {str(p) for p in pathlib.Path(folder).rglob(pattern)}
+
+
+def test_written_tables_drop_their_shuffles(spark):
+    """What a written table was made by isn't left on the disk, and the session's own setting stays."""
+    where = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    before = {f for d in where for f in files(d, "shuffle_*")}
+    made = tables.cut(spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).count())
+    assert {f for d in where for f in files(d, "shuffle_*")} <= before and made.count() == 100
+    assert spark.conf.get(tables.TIDY) == "false"
+
+
+def test_corpus_keeps_what_is_asked_for(spark):
+    """Tables that only other tables are made of are deleted; those asked for can be read, and each is written once."""
+    tables.drop_left(spark)
+    kept = corpus.tables(spark, SF, "entities", "relationships", "customer")
+    assert len(tables._LEFT) == 2 and all(df.count() for df in kept)
+    tables.drop_left(spark)
+    assert corpus.tables(spark, SF, "returns", "entities")[0].count() and len(tables._LEFT) == 2
+    tables.drop_left(spark)
+
+
+def test_tokens_that_end_in_s(spark):
+    """Sets are met by one key for a token and its plural; only those equal up to one s are pairs."""
+    sets = lambda *rows: spark.createDataFrame([("b", list(r)) for r in rows], "bundle_id string, tokens array<string>")
+    found = pathway.containment(sets(("glas",), ("s",), ("bus", "main")), sets(("glass",), ("ss",), ("gla",), ("glasss",), ("bu",)), 0.5)
+    assert {(tuple(r.a), tuple(r.b)) for r in found.collect()} == {(("glas",), ("glass",)), (("glas",), ("gla",)), (("s",), ("ss",)), (("bus", "main"), ("bu",))}
