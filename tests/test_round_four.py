@@ -2,12 +2,13 @@
 
 import os
 import pathlib
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.operators import pathway
+from provgraph.operators import pathway, similarity
 from provgraph.plans.queries import QUERIES, SQL
 from provgraph.sources import corpus, tables
 
@@ -64,3 +65,20 @@ def test_tokens_that_end_in_s(spark):
     sets = lambda *rows: spark.createDataFrame([("b", list(r)) for r in rows], "bundle_id string, tokens array<string>")
     found = pathway.containment(sets(("glas",), ("s",), ("bus", "main")), sets(("glass",), ("ss",), ("gla",), ("glasss",), ("bu",)), 0.5)
     assert {(tuple(r.a), tuple(r.b)) for r in found.collect()} == {(("glas",), ("glass",)), (("glas",), ("gla",)), (("s",), ("ss",)), (("bus", "main"), ("bu",))}
+
+
+def test_nearest_of_all_pairs(spark, monkeypatch):
+    """Parts of a block against every pair by cosine: copies, zeros, nulls, a NaN, and shares that end on a half; no join makes pairs."""
+    draw = random.Random(4)
+    vectors = [[float(draw.randint(-2, 2)) for _ in range(6)] for _ in range(60)] + [[1.0, 0, 0, 0, 0, 0], [1.0, 799, 38, 12, 3, 1], [1.0, 799, 39, 8, 3, 2]] + [[2.0, 1, 0, 0, 1, 2]] * 9 + [[0.0] * 6, None, [1.0, None, 0, 0, 0, 0], [float("nan"), 1, 0, 0, 0, 0]]
+    rows = spark.createDataFrame([(f"r{i * 37 % 101}", i % 2, v and [x if x is None else float(x) for x in v]) for i, v in enumerate(vectors)], "id string, block int, vector array<double>")
+    monkeypatch.setattr(similarity, "PART", 7)
+    found = similarity.nearest(rows, "block", 4)
+    a, b = rows.toDF("id", "block", "v"), rows.toDF("other", "block", "w")
+    pairs = a.join(b, "block").where("id <> other").select("id", "other", similarity.cosine(F.col("v"), F.col("w")).alias("similarity")).collect()
+    want = []
+    for i in {p.id for p in pairs}:
+        best = sorted((-p.similarity, p.other) for p in pairs if p.id == i)[:4]
+        want += [(i, n + 1, other, -s) for n, (s, other) in enumerate(best)]
+    assert sorted(tuple(r) for r in found.select("id", "rank", "other", "similarity").collect()) == sorted(want)
+    assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
