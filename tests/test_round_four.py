@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from provgraph.operators import pathway, similarity
 from provgraph.plans.queries import QUERIES, SQL
-from provgraph.sources import corpus, tables
+from provgraph.sources import corpus, strict, tables
 
 from .test_queries import SF, TABLES, normal
 
@@ -82,3 +82,14 @@ def test_nearest_of_all_pairs(spark, monkeypatch):
         want += [(i, n + 1, other, -s) for n, (s, other) in enumerate(best)]
     assert sorted(tuple(r) for r in found.select("id", "rank", "other", "similarity").collect()) == sorted(want)
     assert "FlatMapCoGroupsInPandas" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_departures_are_written_by_level(spark, monkeypatch):
+    """Every kind of departure, none of them joined in one plan: each level's are written, what the last write reads is written tables only."""
+    plans, cut = [], strict.cut
+    monkeypatch.setattr(strict, "cut", lambda df, **more: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df, **more))[1])
+    texts = ["{", '{"schema_version":"1","source":{"daw":"x"},"colour":1}', '{"source":{}}', '{"source":{"daw":7}}', '{"source":{"daw":"x"},"entities":[{"id":"a","entity_type":"NO"}]}', None]
+    found = strict.departures(spark.createDataFrame(list(enumerate(texts)), "bundle_id int, text string")).collect()
+    want = {(0, "", "not_json"), (1, ".colour", "unknown_field"), (2, ".source.daw", "missing"), (3, ".source.daw", "wrong_type"), (4, ".entities[0].entity_type", "bad_value"), (5, "", "not_json")}
+    assert sorted(tuple(r) for r in found) == sorted(want)
+    assert "Join" in plans[0] and "Join" not in plans[-1] and "Generate" not in plans[-1] and plans[-1].count("Relation") == strict.depth() + 1
