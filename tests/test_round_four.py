@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.operators import pathway, similarity
+from provgraph.operators import pathway, similarity, validate
 from provgraph.plans.queries import QUERIES, SQL
 from provgraph.sources import corpus, strict, tables
 
@@ -93,3 +93,16 @@ def test_departures_are_written_by_level(spark, monkeypatch):
     want = {(0, "", "not_json"), (1, ".colour", "unknown_field"), (2, ".source.daw", "missing"), (3, ".source.daw", "wrong_type"), (4, ".entities[0].entity_type", "bad_value"), (5, "", "not_json")}
     assert sorted(tuple(r) for r in found) == sorted(want)
     assert "Join" in plans[0] and "Join" not in plans[-1] and "Generate" not in plans[-1] and plans[-1].count("Relation") == strict.depth() + 1
+
+
+def test_rules_run_one_by_one(spark, monkeypatch):
+    """No rule's joins are in another one's plan, nor in that of what is returned."""
+    plans, cut = [], validate.cut
+    monkeypatch.setattr(validate, "cut", lambda df, **more: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), cut(df, **more))[1])
+    make = lambda rows, schema: spark.createDataFrame(rows, "bundle_id int, " + schema)
+    found = validate.issues(
+        make([(1, "0.2.0"), (2, "9")], "schema_version string"), make([(1, "p", "PROJECT", "o"), (2, "t", "TRACK", "gone"), (2, "t", "TRACK", None)], "id string, entity_type string, star string"),
+        make([(2, "r", "ODD", "t", "no", "o")], "id string, rel_type string, source string, target string, prov_ref string"), make([(1, "o", "OBSERVED", 0.5)], "id string, evidence string, confidence double"), make([], "id string, field string, status string"))
+    want = {(2, "schema_version", "9"), (2, "entity_id", "t"), (2, "one_project", "0"), (2, "entity_prov", "t->gone"), (2, "rel_target", "r->no"), (2, "rel_prov", "r->o"), (2, "rel_type", "r=ODD"), (2, "lone_track", "t"), (1, "observed_confidence", "o")}
+    assert {(r.bundle_id, r.rule, r.element_id) for r in found.collect()} == want
+    assert len(plans) == 13 and max(p.count("Join") for p in plans) == 2 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
