@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.operators import pathway, similarity, validate
+from provgraph.operators import delta, pathway, signalflow, similarity, validate
 from provgraph.plans.queries import QUERIES, SQL
 from provgraph.sources import corpus, strict, tables
 
@@ -106,3 +106,23 @@ def test_rules_run_one_by_one(spark, monkeypatch):
     want = {(2, "schema_version", "9"), (2, "entity_id", "t"), (2, "one_project", "0"), (2, "entity_prov", "t->gone"), (2, "rel_target", "r->no"), (2, "rel_prov", "r->o"), (2, "rel_type", "r=ODD"), (2, "lone_track", "t"), (1, "observed_confidence", "o")}
     assert {(r.bundle_id, r.rule, r.element_id) for r in found.collect()} == want
     assert len(plans) == 13 and max(p.count("Join") for p in plans) == 2 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flow_writes_the_corpus_once(spark, monkeypatch):
+    """A query's tables of the corpus are written once, whatever its parts take; what is told is written, so that nothing is joined when it is read."""
+    written, cut = [], corpus.cut
+    monkeypatch.setattr(corpus, "cut", lambda df, **more: (written.append(df.columns), cut(df, **more))[1])
+    found = QUERIES["flow_parameters"](spark, SF)
+    assert len(written) == 3 and "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count()
+
+
+def test_owners_and_nouns_of_some(spark):
+    """What is asked for is told as it is among all."""
+    make = lambda rows, schema: spark.createDataFrame([("b", *r) for r in rows], schema)
+    rel = make([("k1", "CONTAINS", "x1", "v1"), ("k2", "CONTAINS", "x2", "v1"), ("k3", "CONTAINS", "x2", "v2"), ("p1", "CHANNEL_PROCESSED_BY", "c1", "x1"), ("u1", "TRACK_USES_CHANNEL", "t2", "c1"), ("u0", "TRACK_USES_CHANNEL", "t1", "c1")], "bundle_id string, id string, rel_type string, source string, target string")
+    of = make([("v1",)], "bundle_id string, id string")
+    assert [tuple(r) for r in delta.parameter_owners(rel, of).select("id", "processor", "channel").collect()] == [("v1", "x1", "c1")]
+    entities = make([("c1", "One", None), ("c2", "", None), ("t1", "T", "lead_vocal_source"), ("t2", "T", "drum_source")], "pair_id string, id string, name string, role string")
+    rel, asked = rel.withColumnRenamed("bundle_id", "pair_id"), make([("c1",), ("c2",), ("no",)], "pair_id string, id string")
+    every = {r.id: r.noun for r in signalflow.nouns(entities, rel).collect()}
+    assert {r.id: r.noun for r in signalflow.nouns(entities, rel, asked).collect()} == {c: every[c] for c in ("c1", "c2")} == {"c1": "lead vocal", "c2": "c2"}
