@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from provgraph.operators import delta, pathway, signalflow, similarity, validate
+from provgraph.operators import delta, pathway, session_graph, signalflow, similarity, validate
 from provgraph.plans.queries import QUERIES, SQL
 from provgraph.sources import corpus, strict, tables
 
@@ -126,3 +126,12 @@ def test_owners_and_nouns_of_some(spark):
     rel, asked = rel.withColumnRenamed("bundle_id", "pair_id"), make([("c1",), ("c2",), ("no",)], "pair_id string, id string")
     every = {r.id: r.noun for r in signalflow.nouns(entities, rel).collect()}
     assert {r.id: r.noun for r in signalflow.nouns(entities, rel, asked).collect()} == {c: every[c] for c in ("c1", "c2")} == {"c1": "lead vocal", "c2": "c2"}
+
+
+def test_session_graph_checks_ends_once(spark):
+    """Neither nodes nor edges, nor what is read of both, checks the ends of an edge again."""
+    make = lambda rows, schema: spark.createDataFrame(rows, "bundle_id string, " + schema)
+    given = {"sessions": make([("b", "Song")], "name string"), "tracks": make([("b", "t1", "A", None, "t2", 0, None), ("b", "t2", "B", None, None, 1, None)], "id string, name string, kind string, group_id string, idx int, observability string"), "routes": make([("b", "q", "gone", "t2", None)], "id string, source string, target string, source_name string")}
+    nodes, edges = session_graph.build(given)
+    assert {(r.edge_type, r.source, r.target) for r in edges.collect()} == {("contains_track", "project", "t1"), ("contains_track", "project", "t2"), ("group_contains", "t2", "t1"), ("has_unresolved_route", "q", "t2")}
+    assert {r.id for r in nodes.collect()} == {"project", "t1", "t2", "q"} and all("Join LeftOuter" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (nodes, edges))
